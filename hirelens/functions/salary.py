@@ -37,13 +37,12 @@ def parse_salary(df: DataFrame, col: str = "raw_salary") -> DataFrame:
         (F.col("_hi") * _unit_factor("_hi_unit") * _period_factor("_period")).alias("salary_max_k"),
         "_months",
     )
-    return scaled.select(
-        *df.columns,
-        "salary_min_k",
-        "salary_max_k",
-        ((F.col("salary_min_k") + F.col("salary_max_k")) / F.lit(2.0) * F.col("_months") / F.lit(12.0)).alias("salary_month_k"),
-        F.when(F.col("salary_min_k").isNull(), "unparsed").otherwise("parsed").alias("salary_status"),
-    )
+    # The generator keeps the optimizer from copying the parsed expressions into every filter and
+    # aggregate above: the pattern runs once per row, whatever is done with the result.
+    month = (F.col("salary_min_k") + F.col("salary_max_k")) / F.lit(2.0) * F.col("_months") / F.lit(12.0)
+    status = F.when(F.col("salary_min_k").isNull(), "unparsed").otherwise("parsed")
+    parsed = F.struct("salary_min_k", "salary_max_k", month.alias("salary_month_k"), status.alias("salary_status"))
+    return scaled.select(*df.columns, F.inline(F.array(parsed)))
 
 
 def _unit_factor(name: str) -> Column:

@@ -14,12 +14,18 @@ from hirelens.operators.prefix import hot_key_join
 from hirelens.session import settle
 
 
-def tokenise(df: DataFrame, doc: str, col: str, words: list[str] | None = None) -> DataFrame:
+def tokenise(df: DataFrame, doc: str, col: str, words: list[str] | None = None, place: bool = False) -> DataFrame:
     """(doc, term) rows, one per occurrence.
 
     Without `words`: Latin words and bigrams of Han runs, from built-in expressions. With `words`:
     only these words, the longest match first, found in Arrow batches.
+
+    With `place` the texts are first spread by document id. Counting terms per document then needs
+    no further shuffle, and the texts are several times smaller than the (doc, term) rows that
+    would move instead. Leave it off where terms are only counted over all documents.
     """
+    if place:
+        df = df.select(doc, col).repartition(doc)
     if words is None:
         return df.select(doc, F.explode(word_tokens(F.col(col))).alias("term"))
     longest_first = sorted({w.lower() for w in words}, key=lambda w: (-len(w), w))
@@ -153,7 +159,7 @@ def similarity(
         terms = settle(freq.select("term", "idf").join(weights, "term", "left"))
         joined = hot_key_join(counts, terms, "term", hot, doc)
         dot = F.sum(w * F.coalesce("weight", F.lit(0.0)))
-        length = weights.agg(F.sqrt(F.sum(F.col("weight") * F.col("weight")))).scalar()
+        length = terms.agg(F.sqrt(F.sum(F.col("weight") * F.col("weight")))).scalar()
         sums = joined.groupBy(doc).agg(dot.alias("_dot"), F.sqrt(F.sum(w * w)).alias("_norm"))
         return sums.select(doc, F.try_divide(F.col("_dot"), F.col("_norm") * length).alias("similarity"))
     weights = settle(fold_templates(member_vectors, members, doc, folds))

@@ -31,7 +31,7 @@ WHERE d * 2 > (SELECT count(*) FROM documents))
 SELECT term, count(*) AS n FROM tokens WHERE term NOT IN (SELECT term FROM stop) GROUP BY 1""")
 def drop_stopwords(spark, sf_dir):
     """Terms that occur in more than half of all documents are taken as generic."""
-    tokens = doc_tokens(spark, sf_dir)
+    tokens = doc_tokens(spark, sf_dir, place=True)
     common = X.document_frequency(X.term_counts(tokens, "doc_id"), document_count(spark, sf_dir)).where(
         F.col("df") * 2 > document_count(spark, sf_dir))
     return X.term_freq(X.drop_stopwords(tokens, common))
@@ -61,12 +61,12 @@ def benefit_freq(spark, sf_dir):
 
 @query(f"WITH {TFIDF_SQL} SELECT doc_id, term, round(w, 6) AS w FROM vectors")
 def tfidf_vectors(spark, sf_dir):
-    return rounded(X.tfidf(doc_tokens(spark, sf_dir), "doc_id", document_count(spark, sf_dir)), "w")
+    return rounded(X.tfidf(doc_tokens(spark, sf_dir, place=True), "doc_id", document_count(spark, sf_dir)), "w")
 
 
 @query(f"WITH {TFIDF_SQL} SELECT term, round(sum(w) / (SELECT count(*) FROM high), 6) AS weight FROM vectors WHERE doc_id IN (SELECT doc_id FROM high) GROUP BY 1")
 def high_template(spark, sf_dir):
-    vectors = X.tfidf(doc_tokens(spark, sf_dir), "doc_id", document_count(spark, sf_dir))
+    vectors = X.tfidf(doc_tokens(spark, sf_dir, place=True), "doc_id", document_count(spark, sf_dir))
     return rounded(X.template(vectors, high_documents(spark, sf_dir), "doc_id"), "weight")
 
 

@@ -9,6 +9,7 @@ from hirelens.constants import EDUCATION_LEVELS, EXPERIENCE_LEVELS, SALARY_PATTE
 from hirelens.functions.levels import edu_level, exp_level, parse_experience
 from hirelens.functions.salary import parse_salary
 from hirelens.operators.textmine import similarity, tokenise
+from hirelens.session import settle
 
 # Labels that the view hands out by key.
 SOURCES = ["BOSS直聘", "前程无忧 (51job)", "智联招聘"]
@@ -170,8 +171,8 @@ def with_doc_id(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("doc_id", F.col("job_id") % document_count(spark, sf_dir))
 
 
-def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenise(table(spark, sf_dir, "documents"), "doc_id", "text")
+def doc_tokens(spark: SparkSession, sf_dir: str, place: bool = False) -> DataFrame:
+    return tokenise(table(spark, sf_dir, "documents"), "doc_id", "text", place=place)
 
 
 def high_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,13 +181,16 @@ def high_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_similarity(spark: SparkSession, sf_dir: str, folds: int | None = None) -> DataFrame:
     """Similarity of every document to the template of the high-quality ones."""
-    return similarity(doc_tokens(spark, sf_dir), high_documents(spark, sf_dir), "doc_id", document_count(spark, sf_dir), folds)
+    return similarity(doc_tokens(spark, sf_dir, place=True), high_documents(spark, sf_dir), "doc_id", document_count(spark, sf_dir), folds)
 
 
 def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean postings with the similarity of their description."""
+    """Clean postings with the similarity of their description.
+
+    Similarity is settled once per document, so a model that reads its rows twice does not mine the texts twice.
+    """
     rows = with_doc_id(clean(spark, sf_dir), spark, sf_dir)
-    return rows.join(doc_similarity(spark, sf_dir), "doc_id", "left")
+    return rows.join(settle(doc_similarity(spark, sf_dir)), "doc_id", "left")
 
 
 LATIN_SQL = "[A-Za-zÀ-ÖØ-öø-ɏ][A-Za-z0-9À-ÖØ-öø-ɏ+#]*"
