@@ -12,9 +12,13 @@ LATIN_WORD = "[A-Za-zÀ-ÖØ-öø-ɏ][A-Za-z0-9À-ÖØ-öø-ɏ+#]*"
 HAN_RUN = "[一-鿿]+"
 
 
+# Characters taken off the ends of a text.
+WHITE_SPACE = " \t\n\r\f\v\u00a0\u3000"
+
+
 def strip(col: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(col: Column) -> Column:
@@ -38,7 +42,9 @@ def tags_or_default(col: Column, default: str = EMPTY_TAGS) -> Column:
 def has_description(col: Column, min_len: int = 10) -> Column:
     """True when the stripped text is longer than `min_len` and is not the text 'nan'."""
     text = strip(F.coalesce(col, F.lit("")))
-    return (F.length(text) > min_len) & (F.lower(text) != "nan")
+    long_enough = F.length(text) > min_len
+    # a text of more than three characters cannot be 'nan'
+    return long_enough if min_len >= 3 else long_enough & (F.lower(text) != "nan")
 
 
 def first_match(col: Column, patterns: list[str]) -> Column:

@@ -35,25 +35,27 @@ def propensity(df: DataFrame, treated: str, covs: list[str]) -> DataFrame:
 def logistic_propensity(df: DataFrame, treated: str, categorical: list[str], numeric: list[str]) -> DataFrame:
     """Add `score` from a logistic model, for covariates that are not all categorical.
 
-    Rows with a NULL covariate or treatment are left out of the fit and of the result.
+    The fit runs on distinct covariate rows weighted by their count, which gives the same maximum
+    and is read many times. Rows with a NULL covariate or treatment are left out of the fit and of
+    the result.
     """
-    rows = df.dropna("any", subset=[treated, *categorical, *numeric]).withColumn("_label", F.col(treated).cast("double"))
+    rows = df.dropna("any", subset=[treated, *categorical, *numeric])
+    covs = [*categorical, *numeric]
+    cells = settle(
+        rows.groupBy(*covs, F.col(treated).cast("double").alias("_label")).agg(F.count(F.lit(1)).cast("double").alias("_weight")))
+    indexed, encoded = [f"_i_{c}" for c in categorical], [f"_e_{c}" for c in categorical]
     steps = []
     if categorical:
-        indexed = [f"_i_{c}" for c in categorical]
-        encoded = [f"_e_{c}" for c in categorical]
         steps = [
             StringIndexer(inputCols=categorical, outputCols=indexed, stringOrderType="alphabetAsc"),
             OneHotEncoder(inputCols=indexed, outputCols=encoded),
         ]
-    else:
-        encoded = []
     steps += [
         VectorAssembler(inputCols=[*encoded, *numeric], outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="_label", probabilityCol="_prob", maxIter=50),
+        LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", probabilityCol="_prob", maxIter=50),
     ]
-    scored = Pipeline(stages=steps).fit(rows).transform(rows)
-    return scored.withColumn("score", vector_to_array("_prob")[1]).select(*df.columns, "score")
+    model = Pipeline(stages=steps).fit(cells)
+    return model.transform(rows).withColumn("score", vector_to_array("_prob")[1]).select(*df.columns, "score")
 
 
 # --- matching -------------------------------------------------------------------------------

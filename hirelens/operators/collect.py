@@ -55,9 +55,15 @@ def merge_details(postings: DataFrame, details: DataFrame, key: str = "job_id",
     return postings.join(new, key, "left").withColumn(text, F.coalesce("_new", text)).drop("_new").select(*postings.columns)
 
 
-def pending_details(postings: DataFrame, details: DataFrame, key: str = "job_id", text: str = "description") -> DataFrame:
-    """Postings with an id whose description is neither in the posting nor among the finished details."""
-    done = details.where(has_description(F.col(text))).select(key)
+def pending_details(
+    postings: DataFrame, details: DataFrame, key: str = "job_id", text: str = "description", order: str = "fetched_seq",
+) -> DataFrame:
+    """Postings with an id whose description is neither in the posting nor in the last successful fetch.
+
+    Only a flag per fetch is aggregated; the texts are not shuffled.
+    """
+    last = details.where(F.col(text).isNotNull()).select(key, order, has_description(F.col(text)).alias("_ok"))
+    done = last.groupBy(key).agg(F.max_by("_ok", order).alias("_ok")).where("_ok").select(key)
     return require_id(postings, key).where(~has_description(F.col(text))).join(done, key, "left_anti")
 
 

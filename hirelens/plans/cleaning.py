@@ -11,7 +11,7 @@ from hirelens.functions.salary import salary_band3
 from hirelens.operators import clean as K
 from hirelens.operators import describe as D
 from hirelens.plans.registry import as_double, as_long, query, rounded
-from hirelens.plans.views import CLEAN_SQL, POSTINGS_SQL, clean, postings, table
+from hirelens.plans.views import CLEAN_SQL, POSTINGS_SQL, clean, postings, texts
 
 _BAND = "CASE WHEN {0} < 8 THEN 'low' WHEN {0} <= 20 THEN 'medium' WHEN {0} > 20 THEN 'high' END"
 
@@ -100,7 +100,7 @@ _CANON = {"the": "The", "les": "LES", "und": "Und"}
 SELECT doc_id, array_to_string(list_transform(string_split(s, ' '), lambda w: CASE lower(w) """
        + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CANON.items()) + """ ELSE w END), ' ') AS text FROM t""")
 def clean_text(spark, sf_dir):
-    return K.clean_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _CANON)
+    return K.clean_text(texts(spark, sf_dir, "documents", "doc_id", "text"), "text", _CANON)
 
 
 def _fenced(reach: float) -> str:

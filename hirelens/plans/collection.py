@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelens.operators import collect as C
 from hirelens.plans.registry import as_double, as_long, query
-from hirelens.plans.views import POSTINGS_SQL, document_count, postings, table, with_doc_id
+from hirelens.plans.views import POSTINGS_SQL, postings, table, texts, with_doc_id
 from hirelens.session import shared_folder
 from hirelens.sources import files, listings, pages
 
@@ -59,17 +59,17 @@ def new_only(spark, sf_dir):
 
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order ids with a description for every fourth one; some hold only the text 'nan'."""
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = with_doc_id(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id")), spark, sf_dir)
-    return rows.join(texts, "doc_id", "left").select(
+    return rows.join(docs, "doc_id", "left").select(
         "job_id",
         F.when(F.col("job_id") % 4 == 0, F.col("text")).when(F.col("job_id") % 4 == 1, " nan ").otherwise("").alias("description"))
 
 
 def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two fetches per order: the first fails for every third one, the second brings text for every fifth."""
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    rows = with_doc_id(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id")), spark, sf_dir).join(texts, "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = with_doc_id(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id")), spark, sf_dir).join(docs, "doc_id")
     tries = F.array(
         F.struct(F.lit(1).alias("fetched_seq"), F.when(F.col("job_id") % 3 != 0, F.col("text")).alias("description")),
         F.struct(F.lit(2).alias("fetched_seq"), F.when(F.col("job_id") % 5 == 0, F.concat("lang", "text")).alias("description")))
@@ -96,7 +96,7 @@ _HAS = "length(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')) > 10 AND lower(regex
 SELECT job_id FROM described WHERE NOT ({_HAS.format('description')})
 AND job_id NOT IN (SELECT job_id FROM fetched WHERE description IS NOT NULL AND {_HAS.format('description')})""")
 def pending_details(spark, sf_dir):
-    return C.pending_details(described(spark, sf_dir), C.latest_details(fetched(spark, sf_dir))).select("job_id")
+    return C.pending_details(described(spark, sf_dir), fetched(spark, sf_dir)).select("job_id")
 
 
 @query(f"""WITH {DETAILS_SQL}
@@ -150,7 +150,7 @@ def failure_streaks(spark, sf_dir):
 @query(r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS body FROM pages)
 SELECT page_id, trim(regexp_replace(regexp_replace(nullif(regexp_replace(body, '^\s+|\s+$', '', 'g'), ''), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS description FROM a""")
 def page_description(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", pages.extract_article(F.col("html")).alias("description"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", pages.extract_article(F.col("html")).alias("description"))
 
 
 @query(r"""WITH c AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 0) AS cards FROM pages),
@@ -158,7 +158,7 @@ r AS (SELECT page_id, unnest(cards) AS card, unnest(range(len(cards))) AS pos_in
 SELECT page_id, pos_in_page, trim(regexp_extract(card, '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) AS name,
   regexp_extract(card, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS link FROM r""")
 def page_cards(spark, sf_dir):
-    cards = pages.extract_anchor_cards(table(spark, sf_dir, "pages").select("page_id", "html"))
+    cards = pages.extract_anchor_cards(texts(spark, sf_dir, "pages", "page_id", "html"))
     return as_long(cards.select("page_id", "pos_in_page", "name", "link"), "pos_in_page")
 
 

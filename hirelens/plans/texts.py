@@ -9,7 +9,7 @@ from hirelens.operators.describe import salary_group
 from hirelens.plans.registry import as_long, query, rounded
 from hirelens.plans.views import (
     CLEAN_SQL, MODELLED_SQL, SIMILARITY_SQL, TFIDF_SQL, TOKENS_SQL, clean, doc_similarity, doc_tokens, document_count,
-    high_documents, modelled, table, tag_rows_sql, with_tags,
+    high_documents, modelled, table, tag_rows_sql, texts, with_tags,
 )
 
 Y = "salary_month_k"
@@ -45,7 +45,7 @@ SELECT term, n_high, n_low, round(n_high / h, 6) AS share_high, round(n_low / l,
 def contrast_terms(spark, sf_dir):
     groups = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # labels meet the documents, not the tokens
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(groups, "doc_id")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").join(groups, "doc_id")
     tokens = docs.select("quality", F.explode(X.word_tokens(F.col("text"))).alias("term"))
     return rounded(X.contrast_terms(tokens, F.col("quality") == 1), "share_high", "share_low", "share_diff", "log_ratio")
 
@@ -114,4 +114,4 @@ DICTIONARY = ["the", "ther", "tion", "elle", "ción", "und", "auf"]
        + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + "')) AS term FROM documents) SELECT term, count(*) AS n FROM t GROUP BY 1")
 def dict_tokens(spark, sf_dir):
     """Dictionary mode: longest match of a word list anywhere in the text."""
-    return X.term_freq(X.tokenise(table(spark, sf_dir, "documents"), "doc_id", "text", DICTIONARY))
+    return X.term_freq(X.tokenise(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", DICTIONARY))

@@ -9,7 +9,7 @@ from hirelens.constants import EDUCATION_LEVELS, EXPERIENCE_LEVELS, SALARY_PATTE
 from hirelens.functions.levels import edu_level, exp_level, parse_experience
 from hirelens.functions.salary import parse_salary
 from hirelens.operators.textmine import similarity, tokenise
-from hirelens.session import settle
+from hirelens.session import settle, spread
 
 # Labels that the view hands out by key.
 SOURCES = ["BOSS直聘", "前程无忧 (51job)", "智联招聘"]
@@ -136,18 +136,23 @@ clean AS (
 
 # --- tags, texts ----------------------------------------------------------------------------
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str, *cols: str) -> DataFrame:
+    """A table of long texts, on all cores."""
+    return spread(table(spark, sf_dir, name).select(key, *cols), key)
+
+
 def order_tags(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     """(job_id, tags): the distinct words of a part column over the lineitems of an order.
 
-    Words are made distinct before they are collected, so an array never grows past the vocabulary.
+    Sets are built before the shuffle and merged after it, so neither an array nor a shuffled row
+    grows past the vocabulary, however many lineitems an order has.
     """
     words = (
         table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
         .join(table(spark, sf_dir, "part").select("p_partkey", column), F.col("l_partkey") == F.col("p_partkey"))
         .select(F.col("l_orderkey").alias("job_id"), F.explode(F.split(column, " ")).alias("w"))
-        .groupBy("job_id", "w").agg(F.lit(1))
     )
-    return words.groupBy("job_id").agg(F.collect_list("w").alias("tags"))
+    return words.groupBy("job_id").agg(F.collect_set("w").alias("tags"))
 
 
 def with_tags(df: DataFrame, spark: SparkSession, sf_dir: str, column: str, out: str) -> DataFrame:
@@ -172,7 +177,8 @@ def with_doc_id(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str, place: bool = False) -> DataFrame:
-    return tokenise(table(spark, sf_dir, "documents"), "doc_id", "text", place=place)
+    docs = table(spark, sf_dir, "documents") if place else texts(spark, sf_dir, "documents", "doc_id", "text")
+    return tokenise(docs, "doc_id", "text", place=place)
 
 
 def high_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
