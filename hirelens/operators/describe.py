@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hirelens.operators.prefix import quantiles_of, ranked_counts, same_keys
+from hirelens.operators.prefix import quantiles_of, ranked_counts, running_totals, same_keys, value_bucket, value_counts
 from hirelens.session import settle
 
 
@@ -22,12 +22,14 @@ def category_share(df: DataFrame, col: str) -> DataFrame:
 def numeric_summary(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
     """Count, mean, exact median and sample standard deviation, over all rows or per group."""
     by = by or []
-    basic = df.groupBy(*by).agg(
-        F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"))
-    median = quantiles_of(ranked_counts(df, col, by), by, {"median": 0.5})
-    if not by:
-        return basic.withColumn("median", median.scalar())
-    return same_keys(basic, median, by, "left")
+    counts = value_counts(df, col, by, keep_groups=True).withColumn("sum", F.col("n") * F.coalesce("value", F.lit(0.0)))
+    ranked = running_totals(counts, ["n", "sum"], by, ["value"], value_bucket(F.col("value")))
+    # the group mean is known on every row, so deviations are taken from it directly
+    mean = F.try_divide(F.col("sum_total"), F.col("n_total"))
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    out = quantiles_of(ranked, by, {"median": 0.5}, {
+        "n": n, "mean": F.max(mean), "_sq": F.sum(F.col("n") * (F.col("value") - mean) * (F.col("value") - mean))})
+    return out.select(*by, "n", "mean", F.when(F.col("n") > 1, F.sqrt(F.col("_sq") / (F.col("n") - 1))).alias("std"), "median")
 
 
 def mean_by(df: DataFrame, by: list[str], col: str) -> DataFrame:

@@ -54,12 +54,17 @@ def running_totals(df: DataFrame, values: list[str], by: list[str], order: list[
         *[f"{v}_total" for v in values])
 
 
-def value_counts(df: DataFrame, col: str, by: list[str]) -> DataFrame:
-    """(group, value, n): rows collapse to distinct values before anything is sorted."""
-    keep = F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))
-    # + 0.0 turns -0.0 into 0.0, so that both are one value
-    value = (F.col(col).cast("double") + F.lit(0.0)).alias("value")
-    return df.where(keep).select(*by, value).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
+def value_counts(df: DataFrame, col: str, by: list[str], keep_groups: bool = False) -> DataFrame:
+    """(group, value, n): rows collapse to distinct values before anything is sorted.
+
+    NULL and NaN are left out; with `keep_groups` they stay as one NULL value with n = 0, so that a
+    group without any value is not lost.
+    """
+    value = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(*by, value.alias("value"))
+    if not keep_groups:
+        rows = rows.where(F.col("value").isNotNull())
+    return rows.groupBy(*by, "value").agg(F.count("value").alias("n"))
 
 
 def ranked_counts(df: DataFrame, col: str, by: list[str]) -> DataFrame:
@@ -67,9 +72,13 @@ def ranked_counts(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     return running_totals(value_counts(df, col, by), ["n"], by, ["value"], value_bucket(F.col("value")))
 
 
-def quantiles_of(ranked: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles from `ranked_counts`: one column per name in `probs`."""
-    aggs, outs = [], []
+def quantiles_of(
+    ranked: DataFrame, by: list[str], probs: dict[str, float], also: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Exact interpolated quantiles from `ranked_counts`: one column per name in `probs`, after the
+    aggregates in `also`."""
+    aggs = [agg.alias(name) for name, agg in (also or {}).items()]
+    outs = [F.col(name) for name in also or {}]
     for i, (name, p) in enumerate(probs.items()):
         at = F.lit(float(p)) * (F.col("n_total") - 1)
         low, high = F.floor(at), F.ceil(at)
@@ -93,15 +102,30 @@ def salt_of(key: str | Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
 
 
+def fits_broadcast(df: DataFrame, max_bytes: int) -> bool:
+    """Measure a settled table of numbers and texts: do its values take at most `max_bytes`?"""
+    if max_bytes <= 0:
+        return False
+    text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    width = F.lit(16 * len(df.columns))
+    for length in text:
+        width = width + length
+    return (df.agg(F.sum(width.cast("long")).alias("bytes")).first()["bytes"] or 0) <= max_bytes
+
+
 def hot_key_join(
     big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spread: str, salts: int = 64, how: str = "inner",
+    broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
-    """Join `big` to `small` (one row per key) with the keys in `hot` split over `salts` partitions.
+    """Join `big` to `small` (one row per key, settled) with the keys in `hot` split over `salts` partitions.
 
+    A small side that is measured to fit in memory is broadcast and nothing is split. Otherwise
     `hot` holds the few keys that occur too often. Its size must be bounded by the caller's rule
     (for example: keys that hold at least a hundredth of all rows, so at most a hundred); it is
     broadcast to mark rows, and only these keys are copied on the small side.
     """
+    if fits_broadcast(small, broadcast_bytes):
+        return big.join(F.broadcast(small), key, how)
     marks = F.broadcast(hot.select(F.col(key), F.lit(True).alias("_hot")))
     left = big.join(marks, key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), salt_of(spread, salts)).otherwise(F.lit(0))).drop("_hot")

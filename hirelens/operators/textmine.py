@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hirelens.functions.text import word_tokens
 from hirelens.operators.prefix import hot_key_join
@@ -113,8 +114,9 @@ def tfidf(tokens: DataFrame, doc: str, n_docs: Column) -> DataFrame:
 
 def unit_length(weights: DataFrame, doc: str) -> DataFrame:
     """Scale every document to length 1."""
-    norm = weights.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return weights.join(norm, doc).select(doc, "term", (F.col("w") / F.col("_norm")).alias("w"))
+    # a window: one document's terms are never more than its words
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
+    return weights.select(doc, "term", (F.col("w") / norm).alias("w"))
 
 
 def template(vectors: DataFrame, members: DataFrame, doc: str) -> DataFrame:
