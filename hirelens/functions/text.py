@@ -9,6 +9,7 @@ from hirelens.constants import EMPTY_TAGS, SENTINELS, SOURCE_MARKS
 
 # A Latin word may carry digits, + and # (python3, c++, c#); a run of Han characters is cut in bigrams.
 LATIN_WORD = "[A-Za-zÀ-ÖØ-öø-ɏ][A-Za-z0-9À-ÖØ-öø-ɏ+#]*"
+WORD_OR_GAP = "[0-9A-Za-zÀ-ÖØ-öø-ɏ+#]+|[^0-9A-Za-zÀ-ÖØ-öø-ɏ+#]+"
 HAN_RUN = "[一-鿿]+"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.functions.text import clean_symbols
+from hirelens.functions.text import WORD_OR_GAP, clean_symbols
 from hirelens.operators.prefix import quantiles_of, ranked_counts, same_keys
 from hirelens.session import settle
 
@@ -54,13 +54,14 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
 def clean_text(df: DataFrame, col: str, canon: dict[str, str] | None = None) -> DataFrame:
     """Line breaks and symbols to blanks, and keywords in their standard spelling ("python" -> "Python").
 
-    `canon` is a short list of standard spellings; every blank-separated word that equals one
-    without regard to case takes that spelling.
+    `canon` is a short list of standard spellings; every word that equals one without regard to
+    case takes that spelling, also next to punctuation or Han text.
     """
     out = clean_symbols(F.col(col))
     if canon:
         pairs = F.create_map(*[F.lit(x) for low, std in canon.items() for x in (low.lower(), std)])
-        out = F.array_join(F.transform(F.split(out, " "), lambda w: F.coalesce(F.try_element_at(pairs, F.lower(w)), w)), " ")
+        parts = F.regexp_extract_all(out, F.lit(WORD_OR_GAP), 0)
+        out = F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at(pairs, F.lower(w)), w)), "")
     return df.withColumn(col, out)
 
 
@@ -77,7 +78,8 @@ def flag_salary_outliers(df: DataFrame, by: list[str], col: str = "salary_month_
     The fences (one row per group) are settled first, so the wide rows meet a table of known size.
     """
     fences = settle(salary_fences(df, by, col, reach).select(*by, "low_fence", "high_fence"))
-    flag = F.coalesce((F.col(col) < F.col("low_fence")) | (F.col(col) > F.col("high_fence")), F.lit(False))
+    value = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))  # NaN is no value
+    flag = F.coalesce((value < F.col("low_fence")) | (value > F.col("high_fence")), F.lit(False))
     return same_keys(df, fences, by, "left").withColumn("salary_outlier", flag)
 
 

@@ -97,8 +97,8 @@ _CANON = {"the": "The", "les": "LES", "und": "Und"}
 
 
 @query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[^0-9A-Za-zÀ-ÖØ-öø-ɏ\x{4e00}-\x{9fff}+#.,;:!?，。；：！？、%/-]+', ' ', 'g')) AS s FROM documents)
-SELECT doc_id, array_to_string(list_transform(string_split(s, ' '), lambda w: CASE lower(w) """
-       + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CANON.items()) + """ ELSE w END), ' ') AS text FROM t""")
+SELECT doc_id, array_to_string(list_transform(regexp_extract_all(s, '[0-9A-Za-zÀ-ÖØ-öø-ɏ+#]+|[^0-9A-Za-zÀ-ÖØ-öø-ɏ+#]+'), lambda w: CASE lower(w) """
+       + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CANON.items()) + """ ELSE w END), '') AS text FROM t""")
 def clean_text(spark, sf_dir):
     return K.clean_text(texts(spark, sf_dir, "documents", "doc_id", "text"), "text", _CANON)
 
