@@ -180,9 +180,11 @@ def treemap(spark, sf_dir):
     return as_long(G.treemap(clean(spark, sf_dir), "city", "job_type", Y, 3), "rank")
 
 
-@query()
+@query(f"""WITH {_TREE} SELECT city, concat('{{"name":"', city, '","value":', CAST(sum(n) AS BIGINT), ',"children":[', string_agg(
+concat('{{"name":"', job_type, '\\n(', printf('%.1f', mean_salary), 'K)","value":', n, ',"avgSalary":', mean_salary, '}}'), ',' ORDER BY rank), ']}}') AS node
+FROM r WHERE rank <= 3 GROUP BY city""")
 def treemap_nodes(spark, sf_dir):
-    """Nested JSON for the chart; the flat table is checked in `treemap`."""
+    """Nested JSON for the chart."""
     return G.treemap_json(G.treemap(clean(spark, sf_dir), "city", "job_type", Y, 3), "city")
 
 

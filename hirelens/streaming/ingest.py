@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -45,10 +46,13 @@ def _part(path: str, kind: str, batch_id: int) -> str:
     return f"{path.rstrip('/')}/{kind}/batch={batch_id}"
 
 
-def _has(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+def _read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def upsert_batch(
@@ -61,10 +65,10 @@ def upsert_batch(
     if keep is not None:
         rows = rows.where(keep)
     fresh = first_seen(rows, key, order or ["keyword", "page_no", "pos_in_page"])
-    if _has(spark, f"{path.rstrip('/')}/postings"):
+    snapshot = _read_if_any(spark, f"{path.rstrip('/')}/postings")
+    if snapshot is not None:
         # only the id column of the earlier batches is read
-        earlier = spark.read.parquet(f"{path.rstrip('/')}/postings").where(F.col("batch") < batch_id)
-        fresh = new_only(fresh, earlier, key)
+        fresh = new_only(fresh, snapshot.where(F.col("batch") < batch_id), key)
     fresh.write.mode("overwrite").parquet(_part(path, "postings", batch_id))
 
 
@@ -77,10 +81,10 @@ def read_upserted(spark: SparkSession, path: str) -> DataFrame:
     """The snapshot: all postings with the last description that arrived for each."""
     base = path.rstrip("/")
     postings = spark.read.parquet(f"{base}/postings").drop("batch")
-    if not _has(spark, f"{base}/details"):
+    details = _read_if_any(spark, f"{base}/details")
+    if details is None:
         return postings
-    details = spark.read.parquet(f"{base}/details").where(F.col("description").isNotNull())
-    last = details.groupBy("job_id").agg(F.max_by("description", F.struct("batch", "fetched_seq")).alias("description"))
+    last = details.where(F.col("description").isNotNull()).groupBy("job_id").agg(F.max_by("description", F.struct("batch", "fetched_seq")).alias("description"))
     return merge_details(postings, last)
 
 
