@@ -112,13 +112,12 @@ fenced AS (SELECT c.*, round(q1 - {reach}::DOUBLE * (q3 - q1), 6) AS low_fence,
 @query(f"""WITH {_fenced(0.5)} SELECT job_id, low_fence, high_fence,
 CASE WHEN round(salary_month_k, 6) < low_fence OR round(salary_month_k, 6) > high_fence THEN 1 ELSE 0 END AS salary_outlier FROM fenced""")
 def salary_outliers(spark, sf_dir):
-    rows = rounded(clean(spark, sf_dir), "salary_month_k")
-    flagged = K.flag_salary_outliers(rows, ["job_type"], reach=0.5)
+    flagged = K.flag_salary_outliers(clean(spark, sf_dir), ["job_type"], reach=0.5)
     return rounded(flagged.select("job_id", "low_fence", "high_fence", F.col("salary_outlier").cast("int").alias("salary_outlier")), "low_fence", "high_fence")
 
 
 @query(f"""WITH {_fenced(0.25)} SELECT job_id, raw_experience, raw_education FROM fenced
 WHERE exp_min >= 5 AND edu_level <= 2 AND round(salary_month_k, 6) > high_fence""")
 def contradictions(spark, sf_dir):
-    flagged = K.flag_contradictions(K.flag_salary_outliers(rounded(clean(spark, sf_dir), "salary_month_k"), ["job_type"], reach=0.25))
+    flagged = K.flag_contradictions(K.flag_salary_outliers(clean(spark, sf_dir), ["job_type"], reach=0.25))
     return flagged.where("contradiction").select("job_id", "raw_experience", "raw_education")
