@@ -81,6 +81,7 @@ def nearest_controls(
             F.max(t).alias("wanted"),
             F.min_by(F.when(~t, control), F.when(~t, F.col(unit))).alias("control"))
     )
+    points = settle(points)  # used by rows and by buckets: the full table is read once
     # bucket far finer than the caliper; the nearest control may lie in another bucket, so each
     # bucket also hands its first and last control on to its neighbours
     width = F.lit(float(caliper) / 8.0)
