@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelens.llm import exact_dedup, line_dedup, quality_rules, simhash
+from hirelens.llm import exact_dedup, line_dedup, packing, quality_classifier, quality_rules, simhash
 from hirelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,15 @@ FROM m GROUP BY doc_id""")
 def op10_line_dedup(spark, sf_dir):
     done = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op6_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op4_lexical_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
