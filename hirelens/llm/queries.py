@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelens.llm import exact_dedup, line_dedup, packing, quality_classifier, quality_rules, simhash
+from hirelens.llm import exact_dedup, html_extract, line_dedup, packing, quality_classifier, quality_rules, simhash
 from hirelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,9 @@ def op4_lexical_packing(spark, sf_dir):
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+@query()
+def op9_html_extract(spark, sf_dir):
+    done = html_extract.extract(table(spark, sf_dir, "pages"))
+    return done.withColumn("n_chars", F.char_length("text").cast("long"))
