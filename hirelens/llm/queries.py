@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelens.llm import exact_dedup, html_extract, line_dedup, packing, quality_classifier, quality_rules, simhash
+from hirelens.llm import exact_dedup, html_extract, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup
 from hirelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,8 @@ def op4_lexical_packing(spark, sf_dir):
 def op9_html_extract(spark, sf_dir):
     done = html_extract.extract(table(spark, sf_dir, "pages"))
     return done.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query()
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_classes(table(spark, sf_dir, "documents"))
