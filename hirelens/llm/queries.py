@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelens.llm import exact_dedup, html_extract, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup
+from hirelens.llm import exact_dedup, html_extract, line_dedup, lm_score, packing, quality_classifier, quality_rules, simhash, substring_dedup
 from hirelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,8 @@ def op9_html_extract(spark, sf_dir):
 @query()
 def op2_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_classes(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_lm_score(spark, sf_dir):
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
