@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelens.llm import exact_dedup, html_extract, line_dedup, lm_score, packing, quality_classifier, quality_rules, simhash, substring_dedup
+from hirelens.llm import (
+    exact_dedup,
+    html_extract,
+    line_dedup,
+    lm_score,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_trie,
+    simhash,
+    substring_dedup,
+)
 from hirelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +106,13 @@ def op2_substring_dedup(spark, sf_dir):
 @query()
 def op8_lm_score(spark, sf_dir):
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_sentencepiece(spark, sf_dir):
+    """Ids of each text and what they decode to, as digests."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    back = sentencepiece_trie.decode(sentencepiece_trie.encode(table(spark, sf_dir, "documents"), path), path)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
