@@ -22,9 +22,13 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(EDGE_SPACE)))
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """`row`: names a row by doc_id and text, so rows that repeat a doc_id with another text stay apart; equal rows share it."""
-    return documents(docs).withColumn("row", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("text_hash")))
+def with_row_key(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """`row`: names a row by doc_id and text, so rows that repeat a doc_id with another text stay apart; equal rows share it.
+
+    `carried`: a struct of the columns to take along, so that their names clash with nothing."""
+    taken = docs.select("doc_id", "text", F.struct(*carry).alias("carried")) if carry else docs
+    own = documents(taken) if not carry else taken.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "carried")
+    return own.withColumn("row", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("text_hash")))
 
 
 def long_lines(docs: DataFrame, min_chars: int = 40) -> DataFrame:
@@ -69,8 +73,8 @@ class LineRuns:
         return fresh
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept_text): one row per row of `docs`.
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_text): one row per row of `docs`; the columns in `carry` come along as struct `carried`.
 
     Keys of at least `min_chars` code points found in at least `min_docs` documents lose all their lines except in the largest
     doc_id that holds them. The documents go into the runs in `batches` batches by a hash of doc_id; then all lines merge-anti-join
@@ -91,10 +95,11 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
         (F.col("l.h1") == F.col("r.h1")) & (F.col("l.h2") == F.col("r.h2")) & ~F.col("l.doc_id").eqNullSafe(F.col("r.last_doc")), "left_anti")
     # one set a row: of repeated rows each position comes several times
     kept = stays.groupBy("row").agg(F.collect_set("pos").alias("kept_long"))
-    met = with_row_key(docs).join(kept, "row", "left")
+    met = with_row_key(docs, carry).join(kept, "row", "left")
     short = lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(F.char_length(F.btrim(x, F.lit(EDGE_SPACE))) < min_chars, i)), lambda i: i.isNotNull())
     places = lambda ls: F.array_sort(F.concat(short(ls), F.coalesce("kept_long", F.array().cast("array<int>"))))
     rebuilt = let(F.split("text", "\n", -1), lambda ls: F.struct(
         F.size(ls).cast("long").alias("n_lines"), F.transform(places(ls), lambda i: F.get(ls, i)).alias("kept")))
-    done = met.select("doc_id", rebuilt.alias("r"))
-    return done.select("doc_id", "r.n_lines", (F.col("r.n_lines") - F.size("r.kept")).alias("n_dropped"), F.concat_ws("\n", "r.kept").alias("kept_text"))
+    extra = ["carried"] if carry else []
+    done = met.select("doc_id", *extra, rebuilt.alias("r"))
+    return done.select("doc_id", *extra, "r.n_lines", (F.col("r.n_lines") - F.size("r.kept")).alias("n_dropped"), F.concat_ws("\n", "r.kept").alias("kept_text"))

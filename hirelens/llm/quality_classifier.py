@@ -147,5 +147,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
         (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def _accept(model, threshold: float):
+    def run(batches):
+        for batch in batches:
+            x = np.array([statistics(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, D)
+            yield batch.filter(pa.array(model.score(x) >= threshold))
+
+    return run
+
+
+def accept(docs: DataFrame, model: Discriminant, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` with a score of `threshold` or more, as they are: no shuffle, every column kept."""
+    return docs.mapInArrow(_accept(model, threshold), docs.schema)
+
+
 def python_fold(doc_id: int, parts: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % parts

@@ -139,3 +139,9 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     least = placed.groupBy("part").agg(F.min("least").alias("component_id"))
     named = settle(placed.join(least, "part").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is their group's component_id, with every column: one document of each group."""
+    stay = settle(simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("stays")).distinct())
+    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stays")), "left_semi")
