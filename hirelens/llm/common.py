@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hirelens.session import settle, shared_folder
 
-__all__ = ["settle", "shared_folder", "table", "documents", "let", "partitions", "ascii_lower", "EDGE_SPACE", "SPACE_CLASS"]
+__all__ = ["settle", "shared_folder", "table", "documents", "let", "fresh", "partitions", "ascii_lower", "EDGE_SPACE", "SPACE_CLASS"]
 
 # The white space of the contracts, \x20 and \x09-\x0D.
 EDGE_SPACE = " \t\n\x0b\x0c\r"
@@ -42,3 +42,10 @@ def ascii_lower(c: Column) -> Column:
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions the session is set to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name

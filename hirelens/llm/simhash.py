@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import documents, partitions, settle
+from hirelens.llm.common import documents, fresh, partitions, settle
 from hirelens.llm.graph import components
 
 RING, MOST = 5, 2
@@ -143,5 +143,6 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose doc_id is their group's component_id, with every column: one document of each group."""
-    stay = settle(simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("stays")).distinct())
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stays")), "left_semi")
+    name = fresh(docs, "stays")
+    stay = settle(simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias(name)).distinct())
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay[name]), "left_semi")
