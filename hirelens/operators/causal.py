@@ -32,12 +32,13 @@ def propensity(df: DataFrame, treated: str, covs: list[str]) -> DataFrame:
     return same_keys(df, cells, covs, "left")
 
 
-def logistic_propensity(df: DataFrame, treated: str, categorical: list[str], numeric: list[str]) -> DataFrame:
+def logistic_propensity(df: DataFrame, treated: str, categorical: list[str], numeric: list[str], max_iter: int = 100) -> DataFrame:
     """Add `score` from a logistic model, for covariates that are not all categorical.
 
     The fit runs on distinct covariate rows weighted by their count, which gives the same maximum
-    and is read many times. Rows with a NULL covariate or treatment are left out of the fit and of
-    the result.
+    and is read many times. Rows with a NULL covariate or treatment are left out of the fit; their score is
+    NULL. Categorical covariates have few labels (their list is held by the driver). A fit that has not
+    converged after `max_iter` rounds raises.
     """
     rows = df.dropna("any", subset=[treated, *categorical, *numeric])
     covs = [*categorical, *numeric]
@@ -52,10 +53,13 @@ def logistic_propensity(df: DataFrame, treated: str, categorical: list[str], num
         ]
     steps += [
         VectorAssembler(inputCols=[*encoded, *numeric], outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", probabilityCol="_prob", maxIter=50),
+        LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", probabilityCol="_prob", maxIter=max_iter, tol=1e-9),
     ]
     model = Pipeline(stages=steps).fit(cells)
-    return model.transform(rows).withColumn("score", vector_to_array("_prob")[1]).select(*df.columns, "score")
+    if model.stages[-1].summary.totalIterations >= max_iter:
+        raise RuntimeError(f"the logistic fit has not converged after {max_iter} rounds")
+    scores = settle(model.transform(cells).withColumn("score", vector_to_array("_prob")[1]).select(*covs, "score").distinct())
+    return same_keys(df, scores, covs, "left").withColumn("score", F.when(F.col(treated).isNotNull(), F.col("score")))
 
 
 # --- matching -------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from hirelens.constants import MEAN_BANDS
 from hirelens.functions.salary import mean_band
 from hirelens.operators.describe import top_k
 from hirelens.operators.prefix import running_totals, same_keys, value_bucket, value_counts
+from hirelens.session import settle
 
 
 def _income_ranks(df: DataFrame, col: str, by: list[str]) -> DataFrame:
@@ -41,7 +42,8 @@ def gini(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
 
 def matrix_mean(df: DataFrame, row: str, col: str, val: str, digits: int = 1) -> DataFrame:
     """Cells of a mean matrix with dense indexes x (columns) and y (rows), both in label order."""
-    cells = df.where(F.col(val).isNotNull()).groupBy(row, col).agg(F.avg(val).alias("_mean"))
+    # settled: the cells are as many as pairs of labels, and are read three times
+    cells = settle(df.where(F.col(val).isNotNull()).groupBy(row, col).agg(F.avg(val).alias("_mean")))
     index = lambda name, out: cells.select(name).distinct().withColumn(out, F.row_number().over(Window.orderBy(name)) - 1)
     placed = same_keys(same_keys(cells, index(col, "x"), [col]), index(row, "y"), [row])
     return placed.select(row, col, "x", "y", F.round(F.round("_mean", 6), digits).alias("mean"))

@@ -104,7 +104,7 @@ def _with_change(periods: DataFrame, measure: str, by: list[str]) -> DataFrame:
 
 def box_stats(df: DataFrame, col: str, by: list[str], reach: float = 1.5) -> DataFrame:
     """Box-plot table per group: five numbers, whisker ends and the number of points beyond them."""
-    counts = ranked_counts(df, col, by)
+    counts = settle(ranked_counts(df, col, by))  # distinct values: read for the quartiles, then for the whiskers
     q = quantiles_of(counts, by, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     fenced = same_keys(counts, q, by)

@@ -102,31 +102,14 @@ def salt_of(key: str | Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
 
 
-def fits_broadcast(df: DataFrame, max_bytes: int) -> bool:
-    """Measure a settled table of numbers and texts: do its values take at most `max_bytes`?"""
-    if max_bytes <= 0:
-        return False
-    text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
-    width = F.lit(16 * len(df.columns))
-    for length in text:
-        width = width + length
-    return (df.agg(F.sum(width.cast("long")).alias("bytes")).first()["bytes"] or 0) <= max_bytes
-
-
-def hot_key_join(
-    big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spread: str, salts: int = 64, how: str = "inner",
-    broadcast_bytes: int = 32 << 20,
-) -> DataFrame:
+def hot_key_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spread: str, salts: int = 64, how: str = "inner") -> DataFrame:
     """Join `big` to `small` (one row per key, settled) with the keys in `hot` split over `salts` partitions.
 
-    A small side that is measured to fit in memory is broadcast and nothing is split. Otherwise
-    `hot` holds the few keys that occur too often. Its size must be bounded by the caller's rule
-    (for example: keys that hold at least a hundredth of all rows, so at most a hundred); it is
-    broadcast to mark rows, and only these keys are copied on the small side.
+    `hot` (settled) holds the few keys that occur too often; its size must be bounded by the caller's rule (for example: keys
+    that hold at least a hundredth of all rows, so at most a hundred). Both small tables have known sizes, so the engine broadcasts
+    them below its threshold; only the hot keys are copied on the small side.
     """
-    if fits_broadcast(small, broadcast_bytes):
-        return big.join(F.broadcast(small), key, how)
-    marks = F.broadcast(hot.select(F.col(key), F.lit(True).alias("_hot")))
+    marks = hot.select(F.col(key), F.lit(True).alias("_hot"))
     left = big.join(marks, key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), salt_of(spread, salts)).otherwise(F.lit(0))).drop("_hot")
     right = small.join(marks, key, "left").withColumn(

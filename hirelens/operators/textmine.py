@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,8 +16,8 @@ from hirelens.session import settle
 def tokenise(df: DataFrame, doc: str, col: str, words: list[str] | None = None, place: bool = False) -> DataFrame:
     """(doc, term) rows, one per occurrence.
 
-    Without `words`: Latin words and bigrams of Han runs, from built-in expressions. With `words`:
-    only these words, the longest match first, found in Arrow batches.
+    Without `words`: Latin words and bigrams of Han runs. With `words`: only these words, the longest match first. Both are
+    built-in expressions.
 
     With `place` the texts are first spread by document id. Counting terms per document then needs
     no further shuffle, and the texts are several times smaller than the (doc, term) rows that
@@ -31,14 +29,7 @@ def tokenise(df: DataFrame, doc: str, col: str, words: list[str] | None = None,
         return df.select(doc, F.explode(word_tokens(F.col(col))).alias("term"))
     longest_first = sorted({w.lower() for w in words}, key=lambda w: (-len(w), w))
     pattern = "|".join(re.escape(w) for w in longest_first)
-
-    @F.pandas_udf("array<string>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        finder = re.compile(pattern)
-        for batch in batches:
-            yield batch.map(lambda text: finder.findall(text.lower()) if text else [])
-
-    return df.select(doc, F.explode(find(F.col(col))).alias("term"))
+    return df.select(doc, F.explode(F.regexp_extract_all(F.lower(F.col(col)), F.lit(pattern), 0)).alias("term"))
 
 
 def drop_stopwords(tokens: DataFrame, stop: DataFrame) -> DataFrame:
@@ -109,7 +100,7 @@ def tfidf(tokens: DataFrame, doc: str, n_docs: Column) -> DataFrame:
     """(doc, term, w): TF-IDF weights, each document scaled to length 1."""
     counts = term_counts(tokens, doc)
     freq = settle(document_frequency(counts, n_docs))
-    return unit_length(weigh(counts, freq, hot_terms(freq, n_docs), doc), doc)
+    return unit_length(weigh(counts, freq, settle(hot_terms(freq, n_docs)), doc), doc)
 
 
 def unit_length(weights: DataFrame, doc: str) -> DataFrame:
@@ -153,7 +144,7 @@ def similarity(
     # the small-to-large tables are written once: tokens are not cut again for every use
     counts = settle(term_counts(tokens, doc))
     freq = settle(document_frequency(counts, n_docs))
-    hot = hot_terms(freq, n_docs)
+    hot = settle(hot_terms(freq, n_docs))
     member_vectors = unit_length(weigh(counts.join(members.select(doc), doc, "left_semi"), freq, hot, doc), doc)
     w = F.col("tf") * F.col("idf")
     if folds is None:
@@ -196,6 +187,10 @@ def fit_line(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> Data
         F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
-def scatter_points(df: DataFrame, x: str, y: str, fraction: float, seed: int = 7) -> DataFrame:
-    """A random part of the points, for a scatter chart."""
-    return df.select(x, y).dropna("any").sample(fraction=fraction, seed=seed)
+HASH_FACTOR, HASH_SIZE = 2_654_435_761, 1 << 32  # golden-ratio multiplier
+
+
+def scatter_points(df: DataFrame, x: str, y: str, fraction: float, key: str) -> DataFrame:
+    """A part of the points, for a scatter chart: those whose integer key hashes below `fraction`, the same in every run."""
+    mixed = F.pmod(F.pmod(F.col(key), F.lit(1 << 31)) * F.lit(HASH_FACTOR), F.lit(HASH_SIZE))
+    return df.where(mixed < F.lit(int(fraction * HASH_SIZE))).select(x, y).dropna("any")

@@ -53,10 +53,10 @@ _PROFILED = ["job_id", "raw_salary", "raw_education", "raw_experience", "recruit
 
 @query("WITH " + POSTINGS_SQL + " " + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS missing, "
-    f"round((count(*) - count({c}))::DOUBLE / count(*), 6) AS missing_share FROM postings" for c in _PROFILED))
+    f"round((count(*) - count({c}))::DOUBLE / count(*), 6) AS missing_share, '{'bigint' if c in ('job_id', 'recruits') else 'string'}' AS data_type FROM postings" for c in _PROFILED))
 def missing_profile(spark, sf_dir):
     profile = K.missing_profile(postings(spark, sf_dir).select(*_PROFILED))
-    return rounded(profile.drop("data_type"), "missing_share")
+    return rounded(profile, "missing_share")
 
 
 @query(f"WITH {POSTINGS_SQL} SELECT job_id, city, raw_experience FROM postings")

@@ -76,32 +76,33 @@ def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("job_id", F.inline(tries))
 
 
-DETAILS_SQL = """linked AS (SELECT o_orderkey AS job_id, text, lang FROM orders JOIN documents ON doc_id = o_orderkey % (SELECT count(*) FROM documents)),
-described AS (SELECT job_id, CASE job_id % 4 WHEN 0 THEN text WHEN 1 THEN ' nan ' ELSE '' END AS description FROM linked),
-fetched AS (SELECT job_id, CASE WHEN job_id % 5 = 0 THEN concat(lang, text) WHEN job_id % 3 <> 0 THEN text END AS description FROM linked)"""
+# Documents come down to what the results show of them before they meet the orders: digest, length and whether there is a description.
+_HAS = "length(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')) > 10 AND lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')) <> 'nan'"
+DETAILS_SQL = f"""docs AS (SELECT doc_id, md5(text) AS d1, length(text) AS l1, {_HAS.format('text')} AS h1,
+  md5(concat(lang, text)) AS d2, length(concat(lang, text)) AS l2, {_HAS.format('concat(lang, text)')} AS h2 FROM documents),
+n_docs AS (SELECT count(*) AS n FROM documents),
+asked AS (SELECT o_orderkey AS job_id, o_orderkey % n AS doc_id FROM orders, n_docs),
+linked AS (SELECT * FROM asked JOIN docs USING (doc_id)),
+described AS (SELECT job_id, CASE job_id % 4 WHEN 0 THEN d1 WHEN 1 THEN md5(' nan ') ELSE md5('') END AS digest,
+  CASE job_id % 4 WHEN 0 THEN l1 WHEN 1 THEN 5 ELSE 0 END AS n_chars, job_id % 4 = 0 AND h1 AS has FROM linked),
+fetched AS (SELECT job_id, CASE WHEN job_id % 5 = 0 THEN d2 WHEN job_id % 3 <> 0 THEN d1 END AS digest,
+  CASE WHEN job_id % 5 = 0 THEN l2 WHEN job_id % 3 <> 0 THEN l1 END AS n_chars, CASE WHEN job_id % 5 = 0 THEN h2 WHEN job_id % 3 <> 0 THEN h1 ELSE FALSE END AS has FROM linked)"""
 
 
 @query(f"""WITH {DETAILS_SQL}
-SELECT d.job_id, md5(coalesce(f.description, d.description)) AS text_md5, length(coalesce(f.description, d.description)) AS n_chars
-FROM described d LEFT JOIN fetched f USING (job_id)""")
+SELECT d.job_id, coalesce(f.digest, d.digest) AS text_md5, CAST(coalesce(f.n_chars, d.n_chars) AS BIGINT) AS n_chars FROM described d JOIN fetched f USING (job_id)""")
 def merge_details(spark, sf_dir):
     merged = C.merge_details(described(spark, sf_dir), C.latest_details(fetched(spark, sf_dir)))
     return as_long(merged.select("job_id", F.md5("description").alias("text_md5"), F.length("description").alias("n_chars")), "n_chars")
 
 
-_HAS = "length(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')) > 10 AND lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')) <> 'nan'"
-
-
-@query(f"""WITH {DETAILS_SQL}
-SELECT job_id FROM described WHERE NOT ({_HAS.format('description')})
-AND job_id NOT IN (SELECT job_id FROM fetched WHERE description IS NOT NULL AND {_HAS.format('description')})""")
+@query(f"""WITH {DETAILS_SQL} SELECT d.job_id FROM described d JOIN fetched f USING (job_id) WHERE NOT d.has AND NOT f.has""")
 def pending_details(spark, sf_dir):
     return C.pending_details(described(spark, sf_dir), fetched(spark, sf_dir)).select("job_id")
 
 
 @query(f"""WITH {DETAILS_SQL}
-SELECT count(*) AS postings, count(*) FILTER ({_HAS.format('description')}) AS with_description,
-  count(*) FILTER (NOT ({_HAS.format('description')})) AS without_description FROM described""")
+SELECT count(*) AS postings, count(*) FILTER (has) AS with_description, count(*) FILTER (NOT has) AS without_description FROM described""")
 def completion(spark, sf_dir):
     return C.completion(described(spark, sf_dir))
 
@@ -170,6 +171,56 @@ def page_query(spark, sf_dir):
     return as_double(parts.select("page_id", "region", "keyword", "page_no"), "page_no")
 
 
+@query(r"""SELECT page_id, CAST(regexp_extract(url, '[?&]page=([0-9]+)', 1) AS DOUBLE) AS page_no FROM pages
+WHERE TRY_CAST(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS INT) BETWEEN 2 AND 4""")
+def page_range(spark, sf_dir):
+    parts = pages.parse_query(
+        table(spark, sf_dir, "pages").select("page_id", "url"), names={"region": "jl", "keyword": "ref", "page_no": "page"})
+    return as_double(pages.page_range(parts, 2, 4).select("page_id", "page_no"), "page_no")
+
+
+_CARD_HTML = """concat('<div class="joblist-box__item clearfix"><div class="top"><a class="jobinfo__name" href="#">', title, '</a>',
+  CASE WHEN job_id % 9 = 0 THEN '' ELSE concat('<p class="jobinfo__salary"> ', raw_salary, ' </p>') END,
+  CASE WHEN job_id % 4 > 0 THEN concat('<div class="jobinfo__other-info-item"><span>', city, '</span></div>') ELSE '' END,
+  CASE WHEN job_id % 4 > 1 THEN concat('<div class="jobinfo__other-info-item">', coalesce(raw_experience, ''), '</div>') ELSE '' END,
+  CASE WHEN job_id % 4 > 2 THEN concat('<div class="jobinfo__other-info-item">', raw_education, '</div>') ELSE '' END,
+  '<div class="jobinfo__tag">', CASE job_id % 3 WHEN 0 THEN '' WHEN 1 THEN concat('<div class="joblist-box__item-tag">', title,
+    '</div><div><div class="joblist-box__item-tag"><b>', city, '</b></div></div>') ELSE concat('<ul><li class=', chr(39), 'joblist-box__item-tag', chr(39), '>', company, '</li></ul>') END,
+  '</div></div><div class="bottom"><span class="companyinfo__name">', company, '</span><div class="companyinfo__tag">',
+  CASE WHEN job_id % 5 = 0 THEN '' ELSE concat('<div class="joblist-box__item-tag">', company_size, '</div>') END, '</div></div></div>')"""
+
+
+@query(f"""WITH {POSTINGS_SQL} SELECT keyword, page_no, title AS "岗位名称", company AS "公司名称", raw_salary AS "岗位薪资",
+concat(CASE WHEN job_id % 4 > 1 THEN coalesce(raw_experience, '') ELSE '' END, ',', CASE WHEN job_id % 4 > 2 THEN raw_education ELSE '' END) AS "岗位要求",
+CASE WHEN job_id % 4 > 0 THEN city ELSE '' END AS "公司位置",
+CASE job_id % 3 WHEN 0 THEN '暂无' WHEN 1 THEN concat(title, ',', city) ELSE company END AS "技术要求",
+CASE WHEN job_id % 5 = 0 THEN '暂无' ELSE company_size END AS "企业信息" FROM postings WHERE job_id % 9 <> 0""")
+def card_pages(spark, sf_dir):
+    """Postings packed into result pages of nested elements, read back as cards."""
+    cards = postings(spark, sf_dir).select("keyword", "page_no", "pos_in_page", F.expr(_CARD_HTML).alias("card"))
+    packed = cards.groupBy("keyword", "page_no").agg(F.array_sort(F.collect_list(F.struct("pos_in_page", "card"))).alias("cards")).select(  # 30 to a page
+        "keyword", "page_no", F.concat(F.lit("<html><body><div class='positionlist'>"), F.concat_ws("<hr>", "cards.card"), F.lit("</div></body></html>")).alias("html"))
+    return pages.extract_cards(packed)
+
+
+# The n-th selector finds the text; before it, an element of the first selector that holds only white space.
+_DETAIL_HTML = """concat('<html><body><h1>x</h1>', CASE WHEN doc_id % 2 = 0 THEN '<div class="job-sec-text"> <br> </div>' ELSE '' END, CASE doc_id % 7
+  WHEN 0 THEN concat('<p class="job-sec-text big">', body, '</p>') WHEN 1 THEN concat('<div class="job-detail-section"><div><div class="text">', body, '</div></div></div>')
+  WHEN 2 THEN concat('<div class="job-sec"><span class="text">', body, '</span></div>') WHEN 3 THEN concat('<section class="job-description">', body, '</section>')
+  WHEN 4 THEN concat('<div class="job-detail"><ul><li class="text">', body, '</li></ul></div>') WHEN 5 THEN concat('<div class="my-job-sec-2"><i class="text">', body, '</i></div>')
+  ELSE concat('<div class="text">', body, '</div>') END, '<p>after</p></body></html>')"""
+
+
+@query(r"""SELECT doc_id, md5(t) AS text_md5, CAST(length(t) AS BIGINT) AS n_chars FROM (
+SELECT doc_id, CASE WHEN doc_id % 7 = 6 OR (doc_id % 2 = 0 AND doc_id % 7 = 0) THEN '' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS t FROM documents) x""")
+def detail_pages(spark, sf_dir):
+    """Documents packed into detail pages that need the first to the sixth selector, some with a blank first match."""
+    body = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    packed = table(spark, sf_dir, "documents").select("doc_id", body.alias("body")).select("doc_id", F.expr(_DETAIL_HTML).alias("html"))
+    out = pages.extract_description(packed)
+    return as_long(out.select("doc_id", F.md5("description").alias("text_md5"), F.length("description").alias("n_chars")), "n_chars")
+
+
 def _job(field: str, name: str):
     return F.col(field).alias(name)
 
@@ -245,14 +296,27 @@ def append_pages(spark, sf_dir):
     return spark.read.schema(rows.schema).parquet(path)
 
 
-@query(f"WITH {POSTINGS_SQL} SELECT job_id, city, raw_salary, coalesce(raw_experience, '') AS description FROM postings")
+@query(f"""WITH {POSTINGS_SQL} SELECT job_id, city, CASE WHEN job_id % 3 = 0 THEN 'changed' ELSE raw_salary END AS raw_salary,
+coalesce(raw_experience, '') AS description FROM postings""")
 def snapshot_round_trip(spark, sf_dir):
+    """Written, read, changed and written back to the same place; then a writer without rows, which changes nothing."""
     rows = postings(spark, sf_dir).select("job_id", "city", "raw_salary", F.col("raw_experience").alias("description"))
     path = shared_folder(spark)
     files.write_snapshot(rows, path)
+    changed = files.read_snapshot(spark, path).withColumn("raw_salary", F.when(F.col("job_id") % 3 == 0, "changed").otherwise(F.col("raw_salary")))
+    files.write_snapshot(changed, path)
+    files.write_snapshot(changed.where("job_id < 0"), path)
     return files.read_snapshot(spark, path)
 
 
+@query(f"""WITH {POSTINGS_SQL} SELECT job_id, title, concat(title, ',', city) AS tags, raw_experience FROM postings""")
+def export_cleaned(spark, sf_dir):
+    rows = postings(spark, sf_dir).select("job_id", "title", F.array("title", "city").alias("tags"), "raw_experience")
+    path = shared_folder(spark)
+    files.export_cleaned(rows, path)
+    return spark.read.option("header", True).option("escape", '"').schema("job_id long, title string, tags string, raw_experience string").csv(path)
+
+
 @query(f"WITH {POSTINGS_SQL} SELECT title, company, raw_salary, city, concat(title, ',', city) AS tags FROM postings")
 def export_final(spark, sf_dir):
     rows = postings(spark, sf_dir).select("job_id", "title", "company", "raw_salary", "city", F.array("title", "city").alias("tags"))

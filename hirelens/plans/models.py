@@ -9,6 +9,7 @@ from hirelens.operators import causal as M
 from hirelens.operators import regress as R
 from hirelens.plans.registry import as_double, as_long, query, rounded
 from hirelens.plans.views import CLEAN_SQL, MODELLED_SQL, clean, modelled
+from hirelens.session import settle
 
 Y = "salary_month_k"
 XS = ["edu_level", "exp_level", "similarity"]
@@ -50,12 +51,15 @@ ee AS (SELECT *, {const} AS b0, {rss} AS rss FROM be), e AS (SELECT *, rss / (n
 fit AS ({' UNION ALL '.join(rows)})"""
 
 
-_OUT = "term, round(estimate, 4) AS estimate, round(std_err, 4) AS std_err, round(estimate / std_err, 4) AS t_value, round(r2, 6) AS r2, n"
+# bounds of |t| at 5, 1 and 0.1 percent: those of the normal distribution with the first term in 1 / degrees of freedom
+_BOUND = [f"(abs(estimate / std_err) > {z} + {(z**3 + z) / 4} / n)::INT" for z in (1.959964, 2.575829, 3.290527)]
+_OUT = f"{' + '.join(_BOUND)} AS p_level, term, round(estimate, 4) AS estimate, round(std_err, 4) AS std_err, round(estimate / std_err, 4) AS t_value, round(r2, 6) AS r2, n"
 
 
 def _fit(df: DataFrame) -> DataFrame:
-    """The p-value has no SQL twin; it is tested against another implementation."""
-    return rounded(rounded(df.drop("p_value", "std_coef"), "estimate", "std_err", "t_value", digits=4), "r2")
+    """`p_level`: how many of the levels 5, 1 and 0.1 percent the p-value is below."""
+    level = sum((F.col("p_value") < p).cast("int") for p in (0.05, 0.01, 0.001))
+    return rounded(rounded(df.withColumn("p_level", level).drop("p_value", "std_coef"), "estimate", "std_err", "t_value", digits=4), "r2")
 
 
 @query(f"WITH {MODELLED_SQL}, {ols_sql('modelled', XS)} SELECT {_OUT} FROM fit")
@@ -188,11 +192,20 @@ def balance(spark, sf_dir):
     return rounded(out, "smd_before", "smd_after")
 
 
-@query()
+@query(f"""WITH {TREATED_SQL}, k AS (SELECT * FROM tr WHERE treated IS NOT NULL)
+SELECT concat('city ', city) AS balanced, count(*) AS n, CAST(count(*) FILTER (treated) AS DOUBLE) AS total FROM k GROUP BY city
+UNION ALL SELECT 'edu_level', count(*), CAST(sum(edu_level) FILTER (treated) AS DOUBLE) FROM k
+UNION ALL SELECT 'exp_level', count(*), CAST(sum(exp_level) FILTER (treated) AS DOUBLE) FROM k
+UNION ALL SELECT 'no score', count(*), 0.0::DOUBLE FROM tr WHERE treated IS NULL""")
 def ml_propensity(spark, sf_dir):
-    """Logistic score with a numeric covariate, as means per treatment and band of score."""
-    rows = M.logistic_propensity(treated_rows(spark, sf_dir), "treated", ["city"], ["edu_level", "exp_level"])
-    return rows.groupBy("treated", F.round("score", 1).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    """At the maximum, scores add up to the treated rows of each city, and to their covariates overall (to the nearest half)."""
+    rows = settle(M.logistic_propensity(treated_rows(spark, sf_dir), "treated", ["city"], ["edu_level", "exp_level"]).select("city", "edu_level", "exp_level", "score"))
+    half = lambda c: (F.round(F.sum(c) * 2) / 2).alias("total")
+    known, n = rows.where("score IS NOT NULL"), F.count(F.lit(1)).alias("n")
+    out = known.groupBy(F.concat(F.lit("city "), "city").alias("balanced")).agg(n, half(F.col("score")))
+    for c in ("edu_level", "exp_level"):
+        out = out.unionByName(known.agg(F.lit(c).alias("balanced"), n, half(F.col("score") * F.col(c))))
+    return out.unionByName(rows.where("score IS NULL").agg(F.lit("no score").alias("balanced"), n, F.lit(0.0).alias("total")))
 
 
 # --- placebo --------------------------------------------------------------------------------

@@ -4,25 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hirelens.operators.collect import domain_filter
 from hirelens.plans.collection import CAPTURES_SQL, captures
 from hirelens.plans.registry import query
+from hirelens.plans.views import table
 from hirelens.session import shared_folder
 from hirelens.streaming import ingest as S
 
-EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
-
 @query("SELECT DISTINCT user_id FROM events")
 def stream_first_seen(spark, sf_dir):
-    """Users of the event stream, each once, kept in a snapshot that later batches are checked against."""
+    """Users of the event stream, each once: files in no order of time, one to a batch, over two checkpoints and three runs."""
     base = shared_folder(spark)
-    events = S.stream_table(spark, sf_dir, EVENT_SCHEMA, "events.parquet").select("user_id", "ts", "event_id")
-    kept = S.stream_dedup(events, "user_id", "ts", "7 days")
-    run = lambda batch, i: S.upsert_batch(batch, i, f"{base}/snapshot", "user_id", ["ts", "event_id"])
-    S.run_available(kept, f"{base}/checkpoint", run).awaitTermination()
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    for part in range(3):
+        # an even share of all times in each file; the second checkpoint meets the first one's files again
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).repartition(2).write.mode("append").parquet(f"{base}/in")
+        checkpoint = f"{base}/checkpoint-{part // 2}"
+        stream = S.stream_table(spark, f"{base}/in", "user_id long, ts timestamp_ntz, event_id long", max_files=1)
+        name = S.stream_id(spark, checkpoint)
+        run = lambda batch, i, name=name: S.upsert_batch(batch, i, f"{base}/snapshot", "user_id", ["ts", "event_id"], stream=name)
+        S.run_available(stream, checkpoint, run).awaitTermination()
     return S.read_upserted(spark, f"{base}/snapshot").select("user_id")
 
 
+_INDUSTRY = "CASE job_id % 7 WHEN 0 THEN '股份制银行' WHEN 1 THEN 'fintech lab' WHEN 2 THEN '互联网' WHEN 3 THEN '汽车金融' WHEN 4 THEN NULL WHEN 5 THEN '消费信托' ELSE lower(industry) END"
+
+
+@query(f"""WITH {CAPTURES_SQL},
+kept AS (SELECT *, {_INDUSTRY} AS trade, row_number() OVER (PARTITION BY job_id ORDER BY page_no, keyword, pos_in_page) AS rn FROM captures
+  WHERE job_id IS NOT NULL AND page_no % 5 NOT IN (3, 4) AND job_id % 7 IN (0, 1, 3, 5))
+SELECT CAST(job_id AS VARCHAR) AS job_id, company, trade AS industry, raw_salary, page_no FROM kept WHERE rn = 1""")
+def stream_listings(spark, sf_dir):
+    """Listing responses as JSON files in several runs: status, the default terms, ids, first seen, snapshot."""
+    base = shared_folder(spark)
+    job = F.struct(
+        F.col("job_id").cast("string").alias("encryptJobId"), F.col("title").alias("jobName"), F.col("company").alias("brandName"),
+        F.col("raw_salary").alias("salaryDesc"), F.col("city").alias("cityName"), F.expr(_INDUSTRY).alias("brandIndustry"))
+    code = F.expr("CASE page_no % 5 WHEN 0 THEN '0' WHEN 3 THEN '37' WHEN 4 THEN '121' END").alias("code")
+    rows = captures(spark, sf_dir).select("keyword", "page_no", "pos_in_page", job.alias("job"))
+    listed = rows.groupBy("keyword", "page_no").agg(F.array_sort(F.collect_list(F.struct("pos_in_page", "job"))).alias("jobs"))  # 30 to a page, and the repeats
+    responses = listed.select(code, F.struct(F.col("jobs.job").alias("jobList")).alias("zpData"), "keyword", "page_no")
+    late = F.col("page_no") >= 1_000_000
+    checkpoint = f"{base}/checkpoint"
+    name = S.stream_id(spark, checkpoint)
+    for part in (responses.where(~late & (F.col("page_no") % 2 == 0)), responses.where(~late & (F.col("page_no") % 2 == 1)), responses.where(late)):
+        part.write.mode("append").json(f"{base}/in")
+        run = lambda batch, i: S.upsert_batch(domain_filter(batch), i, f"{base}/snapshot", order=["page_no", "keyword", "pos_in_page"], stream=name)
+        S.run_available(S.stream_listings(spark, f"{base}/in", max_files=4), checkpoint, run).awaitTermination()
+    return S.read_upserted(spark, f"{base}/snapshot").select("job_id", "company", "industry", "raw_salary", "page_no")
+
+
 @query(f"""WITH {CAPTURES_SQL},
 kept AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY page_no, keyword, pos_in_page) AS rn FROM captures WHERE job_id IS NOT NULL)
 SELECT job_id, company, raw_salary, page_no, CASE WHEN job_id % 6 = 0 THEN concat('second ', city) WHEN job_id % 2 = 0 THEN concat('first ', city) ELSE '' END AS description

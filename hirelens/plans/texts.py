@@ -10,6 +10,7 @@ from hirelens.plans.registry import as_long, query, rounded
 from hirelens.plans.views import (
     CLEAN_SQL, MODELLED_SQL, SIMILARITY_SQL, TFIDF_SQL, TOKENS_SQL, clean, doc_similarity, doc_tokens, document_count,
     high_documents, modelled, table, tag_rows_sql, texts, with_tags,
+    POSTINGS_SQL, postings,
 )
 
 Y = "salary_month_k"
@@ -101,10 +102,19 @@ def similarity_line(spark, sf_dir):
     return as_long(rounded(rounded(out, "slope", "intercept", digits=4), "r2"), "n")
 
 
-@query()
+@query(f"""WITH {MODELLED_SQL} SELECT round(similarity, 9) AS similarity, round({Y}, 6) AS {Y} FROM modelled
+WHERE (job_id % 2147483648) * {X.HASH_FACTOR} % {X.HASH_SIZE} < {int(0.1 * X.HASH_SIZE)} AND similarity IS NOT NULL AND {Y} IS NOT NULL""")
 def similarity_points(spark, sf_dir):
-    """A seeded random tenth of the points for the scatter chart."""
-    return X.scatter_points(modelled(spark, sf_dir), "similarity", Y, 0.1)
+    """A tenth of the points for the scatter chart, by a hash of the id."""
+    return rounded(rounded(X.scatter_points(modelled(spark, sf_dir), "similarity", Y, 0.1, "job_id"), "similarity", digits=9), Y)
+
+
+@query(f"""WITH {POSTINGS_SQL}, r AS (SELECT job_id, unnest(regexp_extract_all(concat(raw_education, ' ', coalesce(raw_experience, ''), source), '[一-鿿]+')) AS run FROM postings),
+b AS (SELECT run, unnest(range(1, greatest(length(run), 2))) AS i FROM r) SELECT substr(run, CAST(i AS INT), 2) AS term, count(*) AS n FROM b GROUP BY 1""")
+def han_tokens(spark, sf_dir):
+    """Bigrams of Han runs; a run of one character is its own term."""
+    rows = postings(spark, sf_dir).select("job_id", F.concat("raw_education", F.lit(" "), F.coalesce("raw_experience", F.lit("")), "source").alias("text"))
+    return X.term_freq(X.tokenise(rows, "job_id", "text")).where(F.col("term").rlike("^[一-鿿]+$"))
 
 
 DICTIONARY = ["the", "ther", "tion", "elle", "ción", "und", "auf"]

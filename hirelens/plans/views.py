@@ -9,7 +9,7 @@ from hirelens.constants import EDUCATION_LEVELS, EXPERIENCE_LEVELS, SALARY_PATTE
 from hirelens.functions.levels import edu_level, exp_level, parse_experience
 from hirelens.functions.salary import parse_salary
 from hirelens.operators.textmine import similarity, tokenise
-from hirelens.session import settle, spread
+from hirelens.session import settle
 
 # Labels that the view hands out by key.
 SOURCES = ["BOSS直聘", "前程无忧 (51job)", "智联招聘"]
@@ -137,8 +137,8 @@ clean AS (
 # --- tags, texts ----------------------------------------------------------------------------
 
 def texts(spark: SparkSession, sf_dir: str, name: str, key: str, *cols: str) -> DataFrame:
-    """A table of long texts, on all cores."""
-    return spread(table(spark, sf_dir, name).select(key, *cols), key)
+    """A table of long texts: the scan's own partitions, nothing is shuffled."""
+    return table(spark, sf_dir, name).select(key, *cols)
 
 
 def order_tags(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
@@ -218,5 +218,6 @@ sims AS (SELECT doc_id, coalesce(sum(w * weight), 0.0::DOUBLE) / (SELECT sqrt(su
 
 MODELLED_SQL = f"""{CLEAN_SQL},
 {SIMILARITY_SQL},
-modelled AS (SELECT c.*, c.job_id % (SELECT count(*) FROM documents) AS doc_id, s.similarity
-  FROM clean c LEFT JOIN sims s ON c.job_id % (SELECT count(*) FROM documents) = s.doc_id)"""
+n_docs AS (SELECT count(*) AS n FROM documents),
+placed AS (SELECT c.*, c.job_id % n AS doc_id FROM clean c, n_docs),
+modelled AS (SELECT p.*, s.similarity FROM placed p LEFT JOIN sims s USING (doc_id))"""

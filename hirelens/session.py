@@ -38,23 +38,14 @@ def shared_folder(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         base = tempfile.mkdtemp(prefix="hirelens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/hirelens-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread the rows of a scan by `key` when it has fewer partitions than there are cores.
-
-    For heavy work per row (whole texts) on a few files that cannot be split. A scan that already
-    fills the cluster stays as it is: nothing is shuffled at size.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 

@@ -24,39 +24,63 @@ def extract_article(html: Column, patterns: list[str] | None = None) -> Column:
     return plain_text(first_match(html, patterns or [ARTICLE]))
 
 
-class _Selected(HTMLParser):
-    """Text of the first element that matches a descendant selector of class tests."""
+class _Elements(HTMLParser):
+    """Keeps the open elements, (tag, classes) from the outside in; an end tag closes all inside its element."""
 
     VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
-    def __init__(self, steps: list[tuple[str, bool]]):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.steps, self.open, self.depth, self.parts, self.done = steps, [], None, [], False
+        self.open: list[tuple[str, str]] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.VOID or self.done:
-            return
-        self.open.append((tag, dict(attrs).get("class") or ""))
-        if self.depth is None and self._matches():
-            self.depth = len(self.open)
+        if tag not in self.VOID:
+            self.open.append((tag, dict(attrs).get("class") or ""))
+            self.opened()
 
     def handle_endtag(self, tag):
         names = [t for t, _ in self.open]
-        if self.done or tag not in names:
-            return
-        del self.open[len(names) - 1 - names[::-1].index(tag):]
-        if self.depth is not None and len(self.open) < self.depth:
-            self.done = True
+        if tag in names:
+            del self.open[len(names) - 1 - names[::-1].index(tag):]
+            self.closed()
+
+    def opened(self):
+        """The last of `open` has just been opened."""
+
+    def closed(self):
+        """`open` has become shorter."""
+
+
+class _Selected(_Elements):
+    """Per descendant selector of class tests, the text of the first element that matches it; one pass for all of them."""
+
+    def __init__(self, selectors: list[list[tuple[str, bool]]]):
+        super().__init__()
+        self.selectors = selectors
+        self.depth: list[int | None] = [None] * len(selectors)
+        self.done = [False] * len(selectors)
+        self.parts: list[list[str]] = [[] for _ in selectors]
+
+    def opened(self):
+        for i, steps in enumerate(self.selectors):
+            if self.depth[i] is None and self._matches(steps):
+                self.depth[i] = len(self.open)
+
+    def closed(self):
+        for i, depth in enumerate(self.depth):
+            if depth is not None and len(self.open) < depth:
+                self.done[i] = True
 
     def handle_data(self, data):
-        if self.depth is not None and not self.done:
-            self.parts.append(data)
+        for i, depth in enumerate(self.depth):
+            if depth is not None and not self.done[i]:
+                self.parts[i].append(data)
 
-    def _matches(self) -> bool:
+    def _matches(self, steps) -> bool:
         classes = [c for _, c in self.open]
-        if not _passes(classes[-1], self.steps[-1]):
+        if not _passes(classes[-1], steps[-1]):
             return False
-        left = list(self.steps[:-1])
+        left = list(steps[:-1])
         for c in reversed(classes[:-1]):
             if left and _passes(c, left[-1]):
                 left.pop()
@@ -78,15 +102,9 @@ def _steps(selector: str) -> list[tuple[str, bool]]:
 
 
 def _first_text(html: str | None, selectors: list[list[tuple[str, bool]]]) -> str:
-    for steps in selectors:
-        if not html:
-            break
-        parser = _Selected(steps)
-        parser.feed(html)
-        text = "".join(parser.parts).strip()
-        if text:
-            return text
-    return ""
+    parser = _Selected(selectors)
+    parser.feed(html or "")
+    return next((text for parts in parser.parts if (text := "".join(parts).strip())), "")
 
 
 def extract_description(pages: DataFrame, selectors: list[str] | None = None, html: str = "html") -> DataFrame:
@@ -121,45 +139,93 @@ def detail_status(http_status: Column, final_url: Column, text: Column) -> Colum
 
 # --- result pages ---------------------------------------------------------------------------
 
-def _element(name: str) -> str:
-    """Content of the first element of that class (closing tag of the same name, no nesting of it)."""
-    return rf'(?s)<(\w+)[^>]*class="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>(.*?)</\1>'
+class _Cards(_Elements):
+    """The cards of a result page: texts of their fields, wherever in the card and in whatever element they stand."""
+
+    CARD, TAG = "joblist-box__item", "joblist-box__item-tag"
+    FIRST = {"jobinfo__name": "name", "companyinfo__name": "company", "jobinfo__salary": "salary"}
+    BLOCKS = {"jobinfo__tag": "tags", "companyinfo__tag": "company_tags"}
+
+    def __init__(self):
+        super().__init__()
+        self.cards: list[dict] = []
+        self.inside: list[tuple[str, int]] = []  # card and tag blocks that are open, with their depth
+        self.taking: list[tuple[list[str], int]] = []  # texts that are being read, with the depth of their element
+
+    def opened(self):
+        depth, classes = len(self.open), self.open[-1][1].split()
+        if self.CARD in classes:
+            self.cards.append({"name": None, "company": None, "salary": None, "card_info": [], "tags": None, "company_tags": None})
+            self.inside.append(("card", depth))
+        if not any(kind == "card" for kind, _ in self.inside):
+            return
+        card = self.cards[-1]
+        for cls in classes:
+            if cls in self.FIRST and card[self.FIRST[cls]] is None:
+                card[self.FIRST[cls]] = self._take(depth)
+            elif cls == "jobinfo__other-info-item":
+                card["card_info"].append(self._take(depth))
+            elif cls in self.BLOCKS and card[self.BLOCKS[cls]] is None:
+                card[self.BLOCKS[cls]] = []
+                self.inside.append((self.BLOCKS[cls], depth))
+            elif cls == self.TAG:
+                for kind in {k for k, _ in self.inside} - {"card"}:
+                    card[kind].append(self._take(depth))
+
+    def _take(self, depth: int) -> list[str]:
+        self.taking.append(([], depth))
+        return self.taking[-1][0]
+
+    def closed(self):
+        self.inside = [x for x in self.inside if x[1] <= len(self.open)]
+        self.taking = [x for x in self.taking if x[1] <= len(self.open)]
 
+    def handle_data(self, data):
+        for parts, _ in self.taking:
+            parts.append(data)
+
+
+def _text(parts: list[str] | None) -> str | None:
+    return None if parts is None else " ".join(" ".join(parts).split())
+
+
+def _cards(html: str | None) -> list[dict]:
+    parser = _Cards()
+    parser.feed(html or "")
+    many = lambda found: [_text(p) for p in found or []]
+    return [
+        {k: many(v) if k in ("card_info", "tags", "company_tags") else _text(v) for k, v in card.items()}
+        for card in parser.cards if card["name"] is not None and card["company"] is not None and card["salary"] is not None]
 
-def _texts(html: Column, name: str) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit(_element(name)), 2), plain_text)
+
+CARD_TYPE = "array<struct<name: string, company: string, salary: string, card_info: array<string>, tags: array<string>, company_tags: array<string>>>"
 
 
 def extract_cards(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per card of a result page under the published column names.
 
-    A card without a name, a company or a salary element is dropped; the other fields get defaults.
+    A card without a name, a company or a salary element is dropped; the other fields get defaults. Tags are the tag elements
+    anywhere in the first tag block, whatever their element. Elements nest, so this runs in Arrow batches.
     """
-    cards = pages.select(
-        *[c for c in pages.columns if c != html],
-        F.posexplode(F.split(F.col(html), r'<\w+[^>]*class="(?:[^"]*\s)?joblist-box__item(?:\s[^"]*)?"[^>]*>')).alias("_pos", "_card"),
-    ).where(F.col("_pos") > 0)
-    block = lambda name: F.regexp_extract(F.col("_card"), rf'(?s)<div[^>]*class="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>(.*?)</div>', 1)
-    fields = cards.select(
-        *[c for c in pages.columns if c != html],
-        F.get(_texts(F.col("_card"), "jobinfo__name"), F.lit(0)).alias("_name"),
-        F.get(_texts(F.col("_card"), "companyinfo__name"), F.lit(0)).alias("_company"),
-        F.get(_texts(F.col("_card"), "jobinfo__salary"), F.lit(0)).alias("_salary"),
-        _texts(F.col("_card"), "jobinfo__other-info-item").alias("card_info"),
-        _texts(block("jobinfo__tag"), "joblist-box__item-tag").alias("_tags"),
-        _texts(block("companyinfo__tag"), "joblist-box__item-tag").alias("_company_tags"),
-    ).where(F.col("_name").isNotNull() & F.col("_company").isNotNull() & F.col("_salary").isNotNull())
-    done = split_card_info(fields)
+
+    @F.pandas_udf(CARD_TYPE)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(_cards)
+
+    keep = [c for c in pages.columns if c != html]
+    cards = pages.select(*keep, F.explode(find(F.col(html))).alias("_card"))
+    fields = split_card_info(cards.select(*keep, "_card", F.col("_card.card_info").alias("card_info")))
     name, company, salary, need, place, tags, firm = CARD_COLUMNS
-    return done.select(
-        *[c for c in pages.columns if c != html],
-        F.col("_name").alias(name),
-        F.col("_company").alias(company),
-        F.col("_salary").alias(salary),
+    return fields.select(
+        *keep,
+        F.col("_card.name").alias(name),
+        F.col("_card.company").alias(company),
+        F.col("_card.salary").alias(salary),
         F.col("requirement").alias(need),
         F.col("location").alias(place),
-        tags_or_default(F.col("_tags"), EMPTY_TAGS).alias(tags),
-        tags_or_default(F.col("_company_tags"), EMPTY_TAGS).alias(firm),
+        tags_or_default(F.col("_card.tags"), EMPTY_TAGS).alias(tags),
+        tags_or_default(F.col("_card.company_tags"), EMPTY_TAGS).alias(firm),
     )
 
 

@@ -6,6 +6,7 @@ is kept in the checkpoint, so a later run neither repeats nor skips a page.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -32,18 +33,32 @@ def stream_table(spark: SparkSession, folder: str, schema: str, pattern: str = "
 
 
 def stream_dedup(df: DataFrame, key: str, event_time: str, delay: str = "7 days") -> DataFrame:
-    """First arrival per key. The state keeps a key for `delay` of event time, so it stays bounded;
-    `upsert_batch` rules out older repeats against the snapshot."""
+    """First arrival per key within `delay` of event time, for streams in event-time order without a snapshot.
+
+    Rows later than the watermark are dropped by the engine. Where no key may be lost, use `upsert_batch` alone: it takes the first
+    row of each key in a batch and rules out, exactly, all keys that the snapshot holds.
+    """
     timed = df.withColumn(event_time, F.col(event_time).cast("timestamp"))
     return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
-# A snapshot folder holds two tables that only grow, with one sub-folder per micro-batch:
+# A snapshot folder holds two tables that only grow, with one sub-folder per stream and micro-batch:
 # new postings, and descriptions that arrived for known ones. Nothing is read and rewritten, and a
-# batch that is run again after a failure overwrites its own sub-folder only.
+# batch that is run again after a failure overwrites its own sub-folder only. Batch numbers start at 0 for every
+# checkpoint, so the stream's id, which is kept with the checkpoint, is part of the path. One stream writes at a time.
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream with this checkpoint: made at its first use and kept in the checkpoint folder."""
+    path = f"{checkpoint.rstrip('/')}/stream_id"
+    known = _read_if_any(spark, path)
+    if known is None:
+        spark.createDataFrame([(f"s-{uuid.uuid4().hex}",)], "id string").coalesce(1).write.parquet(path)
+        known = spark.read.parquet(path)
+    return known.first()["id"]
+
 
-def _part(path: str, kind: str, batch_id: int) -> str:
-    return f"{path.rstrip('/')}/{kind}/batch={batch_id}"
+def _part(path: str, kind: str, stream: str, batch_id: int) -> str:
+    return f"{path.rstrip('/')}/{kind}/stream={stream}/batch={batch_id}"
 
 
 def _read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
@@ -57,9 +72,12 @@ def _read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
 
 def upsert_batch(
     batch: DataFrame, batch_id: int, path: str, key: str = "job_id", order: list[str] | None = None,
-    keep: Column | None = None,
+    keep: Column | None = None, stream: str = "main",
 ) -> None:
-    """Add the batch's first row of every id that no earlier batch holds."""
+    """Add the batch's first row of every id that the snapshot does not hold, whatever the order of arrival.
+
+    `stream`: see `stream_id`; batches of one stream have numbers of their own.
+    """
     spark = batch.sparkSession
     rows = require_id(batch, key)
     if keep is not None:
@@ -67,24 +85,28 @@ def upsert_batch(
     fresh = first_seen(rows, key, order or ["keyword", "page_no", "pos_in_page"])
     snapshot = _read_if_any(spark, f"{path.rstrip('/')}/postings")
     if snapshot is not None:
-        # only the id column of the earlier batches is read
-        fresh = new_only(fresh, snapshot.where(F.col("batch") < batch_id), key)
-    fresh.write.mode("overwrite").parquet(_part(path, "postings", batch_id))
+        # all but what an earlier try of this very batch has left; only the id column is read
+        own = (F.col("stream") == stream) & (F.col("batch") == batch_id)
+        fresh = new_only(fresh, snapshot.where(~own), key)
+    fresh.write.mode("overwrite").parquet(_part(path, "postings", stream, batch_id))
+
 
+def add_details(batch: DataFrame, batch_id: int, path: str, stream: str = "main") -> None:
+    """Add descriptions (job_id, description, fetched_seq) for postings of the snapshot.
 
-def add_details(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Add descriptions (job_id, description, fetched_seq) for postings of the snapshot."""
-    batch.select("job_id", "description", "fetched_seq").write.mode("overwrite").parquet(_part(path, "details", batch_id))
+    The last batch counts, and in it the last fetch; of batches with one number in two streams the later fetch.
+    """
+    batch.select("job_id", "description", "fetched_seq").write.mode("overwrite").parquet(_part(path, "details", stream, batch_id))
 
 
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
     """The snapshot: all postings with the last description that arrived for each."""
     base = path.rstrip("/")
-    postings = spark.read.parquet(f"{base}/postings").drop("batch")
+    postings = spark.read.parquet(f"{base}/postings").drop("stream", "batch")
     details = _read_if_any(spark, f"{base}/details")
     if details is None:
         return postings
-    last = details.where(F.col("description").isNotNull()).groupBy("job_id").agg(F.max_by("description", F.struct("batch", "fetched_seq")).alias("description"))
+    last = details.where(F.col("description").isNotNull()).groupBy("job_id").agg(F.max_by("description", F.struct("batch", "fetched_seq", "stream")).alias("description"))
     return merge_details(postings, last)
 
 

@@ -94,6 +94,30 @@ def test_cards(spark):
     ]
 
 
+@pytest.mark.parametrize("tag, quote", [("div", '"'), ("li", "'"), ("span", '"'), ("div", "'")])
+def test_card_tags_in_any_element(spark, tag, quote):
+    """The tag block ends where its own element ends, whatever stands inside; blocks that are not tags lend none."""
+    one = lambda t: f"<{tag} class={quote}joblist-box__item-tag{quote}><b>{t}</b></{tag}>"
+    html = (
+        '<div class="joblist-box__item"><a class="jobinfo__name">n</a><i class="jobinfo__salary">s</i>' + one("outside")
+        + f'<div class="jobinfo__tag"><div>{one("Java")}</div>{one("SQL")}</div><div><div class="companyinfo__name">c</div>'
+        + f'<div class="companyinfo__tag">{one("民营")}</div></div></div>')
+    row = pages.extract_cards(spark.createDataFrame([("u", html)], "page_url string, html string")).first()
+    assert (row[CARD_COLUMNS[5]], row[CARD_COLUMNS[6]]) == ("Java,SQL", "民营")
+
+
+def test_snapshot_written_back_to_its_place(spark):
+    base = shared_folder(spark)
+    df = spark.createDataFrame([(i, "old") for i in range(50)], "n int, title string")
+    files.write_snapshot(df, f"{base}/s")
+    files.write_snapshot(files.read_snapshot(spark, f"{base}/s").withColumn("title", F.lit("new")), f"{base}/s")
+    bad = df.withColumn("title", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        files.write_snapshot(bad, f"{base}/s")
+    rows = files.read_snapshot(spark, f"{base}/s").collect()
+    assert len(rows) == 50 and {r["title"] for r in rows} == {"new"}
+
+
 def test_query_parts(spark):
     df = spark.createDataFrame([("https://sou.example.com/?jl=765&kw=finance&p=3",), ("not a url",), ("https://x/?p=a",)], "url string")
     rows = [tuple(r)[1:] for r in pages.parse_query(df).collect()]

@@ -35,6 +35,26 @@ def test_pages_resume_and_upsert(spark, tmp_path):
     assert titles() == ["a@1", "b@1", "c@2"]
 
 
+def test_late_keys_and_other_checkpoints(spark):
+    """A key older than all others is kept whenever it comes, and a new checkpoint overwrites nothing."""
+    base = shared_folder(spark)
+    day = {"a": "2024-03-01", "b": "2024-01-01", "c": "2024-03-02", "d": "2023-01-01"}
+    schema = "ts timestamp, k string"
+
+    def run(checkpoint, keys):
+        spark.createDataFrame([(k, day[k]) for k in keys], "k string, d string").select(F.to_timestamp("d").alias("ts"), "k").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        name = S.stream_id(spark, f"{base}/{checkpoint}")
+        assert name == S.stream_id(spark, f"{base}/{checkpoint}")
+        stream = S.stream_table(spark, f"{base}/in", schema, max_files=1)
+        S.run_available(stream, f"{base}/{checkpoint}", lambda b, i: S.upsert_batch(b, i, f"{base}/snap", "k", ["ts"], stream=name)).awaitTermination()
+        return sorted(r["k"] for r in S.read_upserted(spark, f"{base}/snap").collect())
+
+    assert run("one", "a") == ["a"]
+    assert run("one", "b") == ["a", "b"]
+    assert run("one", "c") == ["a", "b", "c"]
+    assert run("two", "d") == ["a", "b", "c", "d"]
+
+
 def test_details_keep_the_last_success(spark):
     base = shared_folder(spark)
     posts = spark.createDataFrame([("a", "k", 1, 0, ""), ("b", "k", 1, 1, "")], "job_id string, keyword string, page_no int, pos_in_page int, description string")

@@ -5,7 +5,6 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from hirelens.operators import prefix
 from hirelens.operators import textmine as X
 
 
@@ -40,11 +39,8 @@ def brute(texts, members, folds=None):
 
 
 @pytest.mark.parametrize("folds", [None, 3])
-@pytest.mark.parametrize("salted", [False, True])
-def test_similarity_matches_brute_force(spark, docs, folds, salted, monkeypatch):
+def test_similarity_matches_brute_force(spark, docs, folds):
     texts, df, members = docs
-    if salted:
-        monkeypatch.setattr(prefix, "fits_broadcast", lambda *_: False)
     tokens = X.tokenise(df, "doc", "text", place=True)
     high = spark.createDataFrame([(m,) for m in members], "doc long")
     got = {r["doc"]: r["similarity"] for r in X.similarity(tokens, high, "doc", F.lit(len(texts)), folds).collect()}
