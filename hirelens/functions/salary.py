@@ -19,9 +19,9 @@ def parse_salary(df: DataFrame, col: str = "raw_salary") -> DataFrame:
     runs once per row: its six groups come back as one marked text that is split.
     """
     groups = F.split(F.regexp_replace(F.col(col), SALARY_PATTERN, _MARK.join(f"${i}" for i in range(1, 7))), _MARK)
-    matched = F.col(col).rlike(SALARY_PATTERN)
-    parts = df.withColumn("_parts", F.when(matched, groups))
-    group = lambda i: F.nullif(F.get("_parts", F.lit(i)), F.lit(""))
+    parts = df.withColumn("_parts", F.when(~F.contains(F.col(col), F.lit(_MARK)), groups))
+    # a text that does not match stays whole, as one part
+    group = lambda i: F.when(F.size("_parts") == 6, F.nullif(F.get("_parts", F.lit(i)), F.lit("")))
     read = parts.select(
         *df.columns,
         group(0).cast("double").alias("_lo"),

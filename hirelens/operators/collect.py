@@ -113,10 +113,15 @@ def cap_pages(df: DataFrame, max_pages: int) -> DataFrame:
 def with_sequence(df: DataFrame, order: str, block: int = 100_000, out: str = "seq") -> DataFrame:
     """Number the rows 0, 1, 2, ... by a unique integer column without sorting the table in one task.
 
-    Rows are numbered inside blocks of the ordering column and shifted by the counts of the blocks ahead.
+    Rows are numbered inside blocks of the ordering column and shifted by the counts of the blocks ahead. Those counts are
+    themselves summed in blocks of a thousand, so what one task sees is a row for every `block` * 1000 ids.
     """
-    run = running_totals(df.withColumn("_one", F.lit(1)), ["_one"], [], [order], F.floor(F.col(order) / block))
-    return run.withColumnRenamed("_one_before", out).drop("_one", "_one_total")
+    at = F.floor(F.col(order) / block).alias("_block")
+    sizes = df.groupBy(at).agg(F.count(F.lit(1)).alias("_size"))
+    ahead = running_totals(sizes, ["_size"], [], ["_block"], F.floor(F.col("_block") / 1000)).select("_block", "_size_before")
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(order)) - 1
+    rows = df.select("*", at).withColumn("_place", place).join(ahead, "_block")
+    return rows.select(*df.columns, (F.col("_size_before") + F.col("_place")).alias(out))
 
 
 def resume_from(df: DataFrame, n: int, order: str, block: int = 100_000) -> DataFrame:

@@ -175,9 +175,12 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*cells)))
 
 
-def salary_group(df: DataFrame, col: str, q: float = 0.25) -> DataFrame:
-    """Add `salary_group`: 'low' up to the q quantile, 'high' from the 1-q quantile on, else 'middle'; NULL stays NULL."""
-    cuts = settle(quantiles_of(ranked_counts(df, col, []), [], {"low_cut": q, "high_cut": 1.0 - q}))
+def salary_group(df: DataFrame, col: str, q: float = 0.25, cuts_from: DataFrame | None = None) -> DataFrame:
+    """Add `salary_group`: 'low' up to the q quantile, 'high' from the 1-q quantile on, else 'middle'; NULL stays NULL.
+
+    `cuts_from`: the same rows before joins that the quantiles do not need.
+    """
+    cuts = settle(quantiles_of(ranked_counts(df if cuts_from is None else cuts_from, col, []), [], {"low_cut": q, "high_cut": 1.0 - q}))
     both = cuts.select(F.struct("low_cut", "high_cut").alias("cuts")).scalar()
     marked = df.withColumn("_cuts", both)
     return marked.withColumn(
@@ -186,7 +189,7 @@ def salary_group(df: DataFrame, col: str, q: float = 0.25) -> DataFrame:
         .when(F.col(col).isNotNull(), "middle")).drop("_cuts")
 
 
-def quartile_profile(df: DataFrame, col: str, measures: list[str]) -> DataFrame:
-    """Means of the measures for the bottom and the top salary quarter."""
-    ends = salary_group(df, col).where(F.col("salary_group").isin("low", "high"))
+def quartile_profile(df: DataFrame, col: str, measures: list[str], cuts_from: DataFrame | None = None) -> DataFrame:
+    """Means of the measures for the bottom and the top salary quarter; `cuts_from` as in `salary_group`."""
+    ends = salary_group(df, col, cuts_from=cuts_from).where(F.col("salary_group").isin("low", "high"))
     return ends.groupBy("salary_group").agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(m) for m in measures])

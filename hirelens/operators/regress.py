@@ -210,7 +210,8 @@ def trimmed_fit(df: DataFrame, y: str, xs: list[str], tail: float = 0.01) -> Dat
 
 
 def sensitivity(df: DataFrame, y: str, xs: list[str], by: str, tail: float = 0.01) -> DataFrame:
-    """Refits without each group and without the tails: (variant, term, estimate, n)."""
+    """Refits without each group and without the tails: (variant, term, estimate, n). The few columns needed are settled once."""
+    df = settle(df.select(by, y, *xs))
     loo = leave_one_out(df, y, xs, by).select(
         F.concat(F.lit(f"without {by}="), F.coalesce(F.col("left_out").cast("string"), F.lit("NULL"))).alias("variant"), "term", "estimate", "n")
     trim = trimmed_fit(df, y, xs, tail).select(F.lit(f"without {tail:g} tails").alias("variant"), "term", "estimate", "n")

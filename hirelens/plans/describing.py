@@ -232,7 +232,8 @@ SELECT salary_group, count(*) AS n, round(avg(edu_level), 6) AS edu_level, round
 FROM g WHERE salary_group IS NOT NULL GROUP BY 1""")
 def quartile_profile(spark, sf_dir):
     measures = ["edu_level", "exp_level", "similarity"]
-    return rounded(D.quartile_profile(rounded(modelled(spark, sf_dir), Y), Y, measures), *measures)
+    rows, salaries = rounded(modelled(spark, sf_dir), Y), rounded(clean(spark, sf_dir).select(Y), Y)
+    return rounded(D.quartile_profile(rows, Y, measures, salaries), *measures)
 
 
 @query(f"""WITH {CLEAN_SQL}, g AS (SELECT city, CASE WHEN round({Y}, 6) <= {_CUTS.format(0.1, 'clean')} THEN 'low'
