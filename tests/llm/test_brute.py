@@ -110,6 +110,20 @@ def test_substring(spark, texts):
         assert got[i].n_repeated_words >= len(covered)
 
 
+def test_first_holder_without_the_passage(spark):
+    """A smaller document with a part of a passage takes signatures of it; two others that share all of it are linked all the same."""
+    rng = np.random.default_rng(12)
+    words = lambda n: ["v%d" % x for x in rng.integers(0, 10**6, n)]
+    rows = []
+    for k in range(40):
+        passage = words(52)
+        rows.append((k, " ".join(words(30) + passage[6:46] + words(30))))
+        rows += [(100 + 2 * k + i, " ".join(words(40) + passage + words(40))) for i in (0, 1)]
+    got = {r.doc_id: r for r in substring_dedup.substring_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].n_links == 0 for k in range(40))
+    assert all(got[100 + 2 * k].class_id == got[101 + 2 * k].class_id == 100 + 2 * k for k in range(40))
+
+
 def test_near_passages_and_clean_texts(spark):
     rng = np.random.default_rng(9)
     word = lambda: "w%d" % rng.integers(0, 50_000)
