@@ -33,8 +33,10 @@ _tokenizers: dict = {}
 
 # The tokenizer file's own split, over ASCII text and over any text.
 _ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+_LATIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿŒœŠšŽž]*")  # composed letters of western Europe, which a plain pattern can tell
+_LATIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿßœšž]+|[0-9]|[^\sa-zà-öø-ÿßœšž0-9]+", re.ASCII)
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]|<\\|")  # texts the tokenizer takes whole: control characters, special tokens
+_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")  # texts with these, or with "<|", the tokenizer takes whole
 
 
 class WordTokenizer:
@@ -69,14 +71,16 @@ class WordTokenizer:
             self.known, self.older = {}, self.known
         parts: list = []
         for t in texts:
-            if _ODD.search(t):
+            if "<|" in t or _CONTROL.search(t):
                 parts.append(None)
             elif t.isascii():
                 parts.append(_ASCII_SPLIT.findall(t.lower()))
+            elif _LATIN.fullmatch(t):
+                parts.append(_LATIN_SPLIT.findall(t.lower()))
             else:
                 parts.append(_SPLIT.findall(unicodedata.normalize("NFC", t).replace("\u03a3", "\u03c3").lower()))
         known, older = self.known, self.older
-        fresh = list({w for p in parts if p for w in p if w not in known})
+        fresh = list(set().union(*(p for p in parts if p)) - known.keys())
         if older:  # words still in use move to the younger generation
             known.update((w, older[w]) for w in fresh if w in older)
             fresh = [w for w in fresh if w not in known]
@@ -84,7 +88,7 @@ class WordTokenizer:
             self._learn(fresh[at : at + 2048])
         close = np.array([END], "<u2").tobytes()
         return [
-            (np.array(self.inner.encode(t, add_special_tokens=False).ids, "<u2").tobytes() if p is None else b"".join([known[w] for w in p])) + close
+            (np.array(self.inner.encode(t, add_special_tokens=False).ids, "<u2").tobytes() if p is None else b"".join(map(known.__getitem__, p))) + close
             for t, p in zip(texts, parts)]
 
 
