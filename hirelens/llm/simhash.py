@@ -142,7 +142,12 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is their group's component_id, with every column: one document of each group."""
-    name = fresh(docs, "stays")
-    stay = settle(simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias(name)).distinct())
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay[name]), "left_semi")
+    """The rows of `docs` whose doc_id is their group's component_id, with every column: one document of each group.
+
+    Those that go are fewer than those that stay, so they are what the texts are held against. A doc_id that rows of several
+    groups have stays if it is the component_id of one.
+    """
+    name = fresh(docs, "goes")
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    goes = settle(simhash_dedup(docs).groupBy(F.col("doc_id").alias(name)).agg(stays.alias("_stays")).where("NOT _stays").select(name))
+    return docs.join(goes, docs["doc_id"].eqNullSafe(goes[name]), "left_anti")
