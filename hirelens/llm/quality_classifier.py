@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import documents
+from hirelens.llm.common import documents, settle
 
 # Counted bytes of UTF-8; the classes are the statistics' own.
 CLASSES = {
@@ -45,8 +45,12 @@ def statistics(text: str) -> list[float]:
 def _features(batches):
     for batch in batches:
         values = pa.array([statistics(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
-        keep = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), values], names=[*keep, "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), values], names=["doc_id", "x"])
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): the statistics of each whole text."""
+    return documents(docs).mapInArrow(_features, "doc_id long, x array<double>")
 
 
 @dataclass
@@ -70,7 +74,7 @@ def _moments(batches):
     total = {}
     for batch in batches:
         label = np.array(batch.column("label").to_pylist(), np.int64)
-        x = np.array([statistics(t) for t in batch.column("text").to_pylist()]).reshape(-1, D)
+        x = np.array(batch.column("x").to_pylist(), np.float64).reshape(-1, D)
         for c in (0, 1):
             own = x[label == c]
             old = total.get(c, np.zeros(1 + D + D * D))
@@ -80,12 +84,12 @@ def _moments(batches):
 
 
 def fit(labelled: DataFrame, shrink: float = 0.1, ridge: float = 0.1, soften: float = 1.0) -> Discriminant:
-    """Fit on every row of (text, label 0/1). Tasks send one row of sums a class, so what reaches the driver is of fixed size.
+    """Fit on every row of (x, label 0/1). Tasks send one row of sums a class, so what reaches the driver is of fixed size.
 
     `shrink`: share of the pooled covariance in each class's own; `ridge`: variance added to each statistic. A class
     without rows takes the mean and covariance of the other, which makes all scores equal to 0.5 plus the prior.
     """
-    sums = labelled.select("text", F.col("label").cast("long").alias("label")).where("label IN (0, 1)").mapInArrow(_moments, "label long, at array<long>, sums array<double>")
+    sums = labelled.select("x", F.col("label").cast("long").alias("label")).where("label IN (0, 1)").mapInArrow(_moments, "label long, at array<long>, sums array<double>")
     got = sums.select("label", F.posexplode("sums").alias("i", "v")).groupBy("label", "i").agg(F.sum("v").alias("v")).collect()  # 2 * (1 + D + D * D) rows at most
     total = np.zeros((2, 1 + D + D * D))
     for r in got:
@@ -110,15 +114,15 @@ def fit(labelled: DataFrame, shrink: float = 0.1, ridge: float = 0.1, soften: fl
 def _score(model):
     def run(batches):
         for batch in batches:
-            x = np.array([statistics(t) for t in batch.column("text").to_pylist()]).reshape(-1, D)
+            x = np.array(batch.column("x").to_pylist(), np.float64).reshape(-1, D)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
 
     return run
 
 
-def score(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """(doc_id, score): probability-like score of label 1 for each whole text; the empty text has one like any other."""
-    return documents(docs).mapInArrow(_score(model), "doc_id long, score double")
+def score(measured: DataFrame, model: Discriminant) -> DataFrame:
+    """(doc_id, score): probability-like score of label 1 for each row of `features`; the empty text has one like any other."""
+    return measured.select("doc_id", "x").mapInArrow(_score(model), "doc_id long, score double")
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -126,13 +130,10 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(parts)), F.lit(0))
 
 
-def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, label): the labelled documents of the training folds (crc32 mod 4 is not 2).
-
-    Labels decide the rows on their own side first, so only their documents' texts meet in the join.
-    """
+def training(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """(x, label): the labelled documents of the training folds (crc32 mod 4 is not 2). Statistics meet the labels, not texts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(F.col("label").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
-    return documents(docs).join(known, "doc_id")
+    return measured.join(known, "doc_id").select("x", "label")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -141,7 +142,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     Fitted on the training folds only, and on the text only. NULL text counts as empty; a NULL label is no label; repeated
     rows are scored each; with no labelled row at all every score is 0.5. An empty table gives no rows.
     """
-    scored = score(docs, fit(training(docs, labels)))
+    measured = settle(features(docs))  # read to fit and to score: each text is measured once
+    scored = score(measured, fit(training(measured, labels)))
     return scored.select(
         "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
