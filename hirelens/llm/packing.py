@@ -24,7 +24,7 @@ from hirelens.llm.common import documents, settle
 WINDOW = 4096
 END = 2  # closes each document
 VOCABULARY = 1 << 16  # ids are held in two bytes
-CACHE = 500_000  # words in each of the two generations a worker remembers
+CACHE = 200_000  # words in each of the two generations a worker remembers
 K1, B = 1.2, 0.75
 SHARD_PART = 32  # bits of sequence_id below the shard number
 
@@ -99,7 +99,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def slices(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of a list whose texts have about `chars` characters together, so that a batch of long texts is not held twice."""
     start, held = 0, 0
     for i, t in enumerate(texts):
