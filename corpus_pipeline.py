@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelens.llm import line_dedup, packing, quality_classifier, simhash, substring_dedup
-from hirelens.llm.common import shared_folder, table
+from hirelens.llm.common import settle, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 REJECTED_BELOW = 0.5  # score of label 1
@@ -22,7 +22,8 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores as more likely bad than good go; NULL text is scored as empty and stays NULL."""
-    known = quality_classifier.training(docs, table(spark, sf_dir, "labels"))
+    measured = settle(quality_classifier.features(docs))  # else measuring and summing would run in one stage, with two Python workers a task
+    known = quality_classifier.training(measured, table(spark, sf_dir, "labels"))
     return quality_classifier.accept(docs.select(*COLUMNS), quality_classifier.fit(known), REJECTED_BELOW)
 
 
