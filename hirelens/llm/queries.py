@@ -113,6 +113,5 @@ def op3_sentencepiece(spark, sf_dir):
     """Ids of each text and what they decode to, as digests."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    back = sentencepiece_trie.decode(sentencepiece_trie.encode(table(spark, sf_dir, "documents"), path), path)
-    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+    back = sentencepiece_trie.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return back.select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))

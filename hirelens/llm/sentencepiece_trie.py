@@ -13,6 +13,7 @@ each of its neighbours passes that test, so one piece is admissible at each node
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -23,8 +24,9 @@ from hirelens.llm.common import documents
 from hirelens.llm.packing import slices
 
 SPACE = "▁"
-CACHE = 300_000  # words a worker remembers, in each of two generations
-PAIRS = 2_000_000
+CACHE = 150_000  # words a worker remembers, in each of two generations
+PAIRS = 300_000  # tested neighbours a worker remembers
+NONE = -1  # in place of a piece: the start of a word, or a character without a piece, which joins nothing
 _models: dict = {}
 
 
@@ -45,10 +47,15 @@ class PieceModel:
 
     def _set(self, pieces: dict[str, tuple[int, float]], kind: str) -> None:
         self.pieces, self.kind = pieces, kind
-        self.longest = max(map(len, pieces), default=1)
+        lengths: dict[str, set[int]] = {}
+        for p in pieces:
+            lengths.setdefault(p[-2:], set()).add(len(p))
+        # lengths of the pieces with given last two characters, longest first; one character may always be a piece
+        self.lengths = {end: (*sorted(found, reverse=True), 1) for end, found in lengths.items() if len(end) == 2}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.spelled = {i: p for p, (i, _) in pieces.items()}
         # characters no piece has never join anything: texts are cut around the common ones of them, line ends
         loose = "".join(c for c in "\n\r\t" if not any(c in p for p in pieces))
         self.word = re.compile(f"[{re.escape(loose)}]|{SPACE}*[^{SPACE}{re.escape(loose)}]+|{SPACE}+" if loose else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -66,21 +73,25 @@ class PieceModel:
                 return symbols
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def may_follow(self, left: str, right: str) -> bool:
-        """Whether `right` may stand after `left` ('' at the start of a word)."""
+    def may_follow(self, left: int, right: int) -> bool:
+        """Whether piece `right` may stand after piece `left`, or after NONE."""
         if self.kind == "unigram":
             return True
-        found = self.pairs.get((left, right))
+        key = left << 32 | right
+        found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            found = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+            both = [self.spelled[right]] if left == NONE else [self.spelled[left], self.spelled[right]]
+            found = self.pairs[key] = self.merged("".join(both)) == both
         return found
 
     def encode_words(self, words: list[str]) -> None:
         """Encode distinct words in sorted order, reusing the forward table of the prefix shared with the word before."""
-        pieces, longest, may_follow = self.pieces, self.longest, self.may_follow
-        last, score, start = [""], [0.0], [0]  # forward table by depth
+        pieces, lengths, pairs, may_follow = self.pieces, self.lengths, self.pairs, self.may_follow
+        single = (1,)
+        only_one = self.kind != "unigram"  # at most one piece is admissible at a node
+        last, score, start = [NONE], [0.0], [0]  # forward table by depth
         before = ""
         for word in sorted(words):
             depth = 0
@@ -90,26 +101,36 @@ class PieceModel:
                 depth += 1
             del last[depth + 1 :], score[depth + 1 :], start[depth + 1 :]
             for i in range(depth + 1, len(word) + 1):
-                top, piece, begin = -float("inf"), None, i - 1
-                for j in range(max(0, i - longest), i):
+                top, piece, begin = -float("inf"), NONE, i - 1
+                for n in lengths.get(word[i - 2 : i], single) if i > 1 else single:
+                    if n > i:
+                        continue
+                    j = i - n
                     found = pieces.get(word[j:i])
-                    if found is not None and score[j] + found[1] > top and may_follow(last[j], word[j:i]):
-                        top, piece, begin = score[j] + found[1], word[j:i], j
-                if piece is None:  # a character without a piece: bytes, which join nothing
-                    top, piece = score[i - 1], word[i - 1]
+                    if found is None:
+                        continue
+                    there, total = found[0], score[j] + found[1]
+                    if total > top:
+                        ok = pairs.get(last[j] << 32 | there)
+                        if ok or ok is None and may_follow(last[j], there):
+                            top, piece, begin = total, there, j
+                            if only_one:
+                                break
+                if piece == NONE:  # a character without a piece: bytes
+                    top = score[i - 1]
                 last.append(piece), score.append(top), start.append(begin)
             before = word
             ids, i = [], len(word)
             while i > 0:
-                found = pieces.get(last[i])
-                if found is not None:
-                    ids.append(found[0])
+                if last[i] != NONE:
+                    ids.append(last[i])
                 elif self.byte_ids:
-                    ids.extend(self.byte_ids[b] for b in reversed(last[i].encode("utf-8", "surrogatepass")))
+                    ids.extend(self.byte_ids[b] for b in reversed(word[i - 1].encode("utf-8", "surrogatepass")))
                 else:
                     ids.append(self.unknown)
                 i = start[i]
-            self.known[word] = np.array(ids[::-1], "<u4").tobytes()
+            ids.reverse()
+            self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; the empty text has none."""
@@ -173,3 +194,23 @@ def _decode(path: str, kind: str):
 def decode(encoded: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
     """(doc_id, ids, text, ids_crc32) of (doc_id, ids). Where the encoded text had U+2581 itself, a space comes back, as in the library."""
     return encoded.select("doc_id", "ids").mapInArrow(_decode(path, kind), "doc_id long, ids binary, text string, ids_crc32 long")
+
+
+def _round_trip(path: str, kind: str):
+    def run(batches):
+        own = model(path, kind)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in slices(texts):
+                ids = own.encode_batch(texts[a:b])
+                back = [own.decode(x).encode("utf-8", "replace").decode() for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(back, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_crc32", "text"])
+
+    return run
+
+
+def round_trip(docs: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
+    """(doc_id, n_tokens, ids_crc32, text): `encode` and `decode` in one pass, so that a task needs one Python worker, not two."""
+    return documents(docs).mapInArrow(_round_trip(path, kind), "doc_id long, n_tokens long, ids_crc32 long, text string")
