@@ -140,6 +140,41 @@ def test_near_passages_and_clean_texts(spark):
     assert sum(got[i].class_id == 1 for i in range(1, 40, 2)) >= 19
 
 
+def brute_stretches(a, r):
+    """Whether stretches of 46 tokens or more of `a` and `r`, of about equal lengths, have a Jaccard of 0.8 or more."""
+    for s in range(len(a) - 45):
+        for e in range(s + 46, len(a) + 1):
+            p = set(a[s:e])
+            for n in range(max(46, e - s - 3), e - s + 4):
+                for u in range(len(r) - n + 1):
+                    both = len(p & set(r[u : u + n]))
+                    if both >= 0.8 * (len(p) + len(set(r[u : u + n])) - both):
+                        return True
+    return False
+
+
+@pytest.mark.parametrize("size,edits", [(55, [27]), (50, [49]), (50, [4]), (90, [45]), (100, [33, 66]), (55, [18, 36]), (70, [20, 40])])
+def test_edits_inside_a_passage(size, edits):
+    rng = np.random.default_rng(size + len(edits))
+    fresh = lambda n: rng.integers(0, 1 << 40, n).astype(np.uint64)
+    for kind in ("other", "more", "less"):
+        own = fresh(size)
+        near = list(own)
+        for at in sorted(edits, reverse=True):
+            near[at : at + (kind != "more")] = [] if kind == "less" else list(fresh(1))
+        cut = lambda x: (substring_dedup.shingles(x) & np.uint64(0xFFFFFFFF)).astype("<u4")
+        # beside the passage every token is new, so stretches that reach further out have a lower Jaccard
+        a, r = cut(np.concatenate([fresh(20), np.array(near, np.uint64), fresh(9)])), cut(np.concatenate([fresh(11), own, fresh(17)]))
+        want = brute_stretches(a[15 : len(a) - 4].tolist(), r[6 : len(r) - 12].tolist())
+        got = list(substring_dedup.passages(a, r, -9))
+        assert bool(got) == want, (size, edits, kind)
+        for s, e, u, v in got:
+            p, q = set(a[s:e].tolist()), set(r[u:v].tolist())
+            assert min(e - s, v - u) >= 46 and len(p & q) >= 0.8 * len(p | q)
+            assert e - s >= size - 15 or kind == "less" or len(edits) > 1
+    assert (size, edits) not in [(55, [27]), (90, [45]), (100, [33, 66])] or want
+
+
 def test_sentencepiece(spark, texts):
     import sentencepiece
 
