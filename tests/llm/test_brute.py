@@ -175,6 +175,19 @@ def test_edits_inside_a_passage(size, edits):
     assert (size, edits) not in [(55, [27]), (90, [45]), (100, [33, 66])] or want
 
 
+def test_every_copy_of_a_repeated_passage(spark):
+    """A text that holds a passage seven times, far apart, loses all of them, also those between the first and the last."""
+    rng = np.random.default_rng(21)
+    words = lambda n: ["c%d" % x for x in rng.integers(0, 10**6, n)]
+    passage, own = words(60), [words(150) for _ in range(8)]
+    rows = [(1, " ".join(words(30) + passage + words(30))), (2, " ".join(w for part in own for w in part + (passage if part is not own[-1] else [])))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.substring_classes(docs).collect()}
+    assert (got[2].class_id, got[2].n_passages, got[2].n_repeated_words) == (1, 7, 420)
+    left = {r.doc_id: r.text.split() for r in substring_dedup.cut_passages(docs).collect()}
+    assert left[2] == [w for part in own for w in part]
+
+
 def test_sentencepiece(spark, texts):
     import sentencepiece
 
