@@ -124,6 +124,19 @@ def test_first_holder_without_the_passage(spark):
     assert all(got[100 + 2 * k].class_id == got[101 + 2 * k].class_id == 100 + 2 * k for k in range(40))
 
 
+def test_first_holder_with_a_part_before_the_passage(spark):
+    """The smaller document has a part of the passage first and all of it later; a single other one has all of it."""
+    rng = np.random.default_rng(13)
+    words = lambda n: ["u%d" % x for x in rng.integers(0, 10**6, n)]
+    rows = []
+    for k in range(60):
+        passage = words(50)
+        rows.append((k, " ".join(words(30) + passage[3:44] + words(200) + passage + words(30))))
+        rows.append((100 + k, " ".join(words(40) + passage + words(40))))
+    got = {r.doc_id: r for r in substring_dedup.substring_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((got[100 + k].class_id, got[100 + k].n_repeated_words) == (k, 50) for k in range(60))
+
+
 def test_near_passages_and_clean_texts(spark):
     rng = np.random.default_rng(9)
     word = lambda: "w%d" % rng.integers(0, 50_000)
