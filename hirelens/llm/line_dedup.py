@@ -1,8 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 A run is a table of (h1, h2, n_docs, last_doc), one row per line key, sorted by hash. Each batch of documents is one new run of
-level 0; `fanout` runs of a level are compacted into one of the next, so a key is rewritten once per level. Batches meet the
-runs by a merge-anti-join. Everything is DataFrame functions.
+level 0; `fanout` runs of a level are compacted into one of the next, so a key is rewritten once per level. `LineRuns.add`
+offers the anti-join of a batch with the runs before it, for callers that take in batches over time; the query does not use it: its
+batches are all there at once, their runs are compacted into one table, and one anti-join of all lines with it follows.
+Everything is DataFrame functions.
 """
 
 from __future__ import annotations
