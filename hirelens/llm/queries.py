@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelens.llm import (
+    divergence,
     exact_dedup,
+    filter_audit,
     html_extract,
     line_dedup,
     lm_score,
@@ -18,6 +20,7 @@ from hirelens.llm import (
     sentencepiece_trie,
     simhash,
     substring_dedup,
+    warc,
 )
 from hirelens.llm.common import table
 
@@ -115,3 +118,60 @@ def op3_sentencepiece(spark, sf_dir):
 
     back = sentencepiece_trie.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return back.select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("""WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, (CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * len(text) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END) AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM w LEFT JOIN lab ON lab.doc_id = w.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT f AS filter_order, bit AS used FROM f UNION ALL SELECT filter_order || f, used + bit FROM o, f WHERE (used & bit) = 0),
+s AS (SELECT filter_order, step, (SELECT bit FROM f WHERE f = filter_order[step]) AS bit,
+  coalesce((SELECT sum(bit) FROM f WHERE contains(filter_order[1:step - 1], f)), 0)::INT AS earlier
+  FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o WHERE used = 31)),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (WHERE (mask & (bit | earlier)) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (WHERE (mask & bit) <> 0 AND (mask & earlier) = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE (mask & bit) <> 0 AND (mask & earlier) <> 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE (mask & bit) <> 0 AND (mask & earlier) = 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (WHERE (mask & bit) <> 0 AND (mask & earlier) = 0), 0)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r""")
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit_files(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+@query(r"""WITH d AS (SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+x AS (SELECT row_id, lang, source, unnest(ts) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS n FROM x GROUP BY lang, term HAVING count(DISTINCT row_id) >= 30),
+l AS (SELECT lang, count(*)::HUGEINT AS big_v, sum(n)::HUGEINT AS big_n FROM v GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT x.lang, x.source, x.term, count(*) AS n FROM x JOIN v ON v.lang = x.lang AND v.term = x.term GROUP BY ALL),
+t AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (SELECT t.lang, t.source, v.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (t.total + 5 * l.big_v) AS p,
+  1 + 1000000000::HUGEINT * (v.n + 5) // (l.big_n + 5 * l.big_v) AS lang_p
+  FROM t JOIN v ON v.lang = t.lang JOIN l ON l.lang = t.lang LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = v.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+every AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, (p - lang_p)::BIGINT FROM p WHERE n > 0 AND p > lang_p),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM every)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""")
+def op12_source_divergence(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@query("""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+m AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS last_id FROM p),
+r AS (SELECT *, payload_bytes >= 1000 AND page_id <> last_id AS again FROM m)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last_id END AS refers_to FROM r""")
+def op13_warc(spark, sf_dir):
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
