@@ -9,12 +9,12 @@ exact at any moment, and the 120 orders are expanded from at most 32 masks a par
 
 from __future__ import annotations
 
-from itertools import permutations
+import json
+from itertools import groupby, permutations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from hirelens.llm.common import let, settle, shared_folder
 
@@ -26,8 +26,8 @@ ORDERS = ["".join(p) for p in permutations(FILTERS)]
 MEASURED = "doc_id long, part string, mask int, text_key string"
 PARTIAL = "text_key string, part string, mask int, least long, n long, good long, toxic long, least_n long, least_good long, least_toxic long"
 CHANGE = "part string, mask int, n long, good long, toxic long"
-STATE = "least long, parts array<string>, n array<long>, good array<long>, toxic array<long>"
 COUNTS = ["n", "good", "toxic"]
+BUCKETS = 4096  # groups of texts that one call serves; as many tasks can work on the state at a time
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -62,49 +62,58 @@ def _combined(frames):
             yield by.agg(mask=("mask", "first"), least=("doc_id", "min"), **sums).reset_index()[[x.split(" ")[0] for x in PARTIAL.split(", ")]]
 
 
-def _update(key, frames, state: GroupState):
-    """A text's rows of one batch to changes of the counters; the state is its smallest doc_id and that document's counts by part."""
-    was = state.get if state.exists else None
-    rows = [r for f in frames for r in f[["part", "mask", "least", *COUNTS, *(f"least_{c}" for c in COUNTS)]].itertuples(index=False, name=None)]
-    mask = rows[0][1]
-    least = min([r[2] for r in rows] + ([was[0]] if was else []))
-    changes: dict[tuple[str, int], list[int]] = {}
-    holder: dict[str, list[int]] = {}
-
-    def add(to, at, counts, sign=1):
-        kept = to.setdefault(at, [0, 0, 0])
-        for i, c in enumerate(counts):
-            kept[i] += sign * c
-
-    if was:
-        for part, *counts in zip(*was[1:]):
-            if was[0] > least:  # a smaller id has come: the document is a copy now
-                add(changes, (part, mask), counts, -1)
-                add(changes, (part, mask | COPY), counts)
-            else:
-                add(holder, part, counts)
-    for part, _, lowest, *counts in rows:
-        every, at_least = counts[:3], counts[3:]
-        if lowest > least:
-            at_least = [0, 0, 0]
-        else:
-            add(holder, part, at_least)
-            add(changes, (part, mask), at_least)
-        add(changes, (part, mask | COPY), [a - b for a, b in zip(every, at_least)])
-    names = sorted(holder)
-    state.update((least, names, *([holder[p][i] for p in names] for i in range(3))))
-    yield pd.DataFrame([(*at, *c) for at, c in changes.items() if any(c)], columns=["part", "mask", *COUNTS])
-
-
-def _changes(found: DataFrame, labels: DataFrame) -> DataFrame:
+class _Least(StatefulProcessor):
+    """Per text its smallest doc_id and what that document adds to the counters, by part; a batch's rows come out as counter changes.
+
+    The grouping key is a bucket of text hashes, so that one call serves several texts; the state is an entry for each text.
+    """
+
+    def init(self, handle) -> None:
+        self.texts = handle.getMapState("texts", "text_key string", "least long, held string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        changes: dict[tuple[str, int], list[int]] = {}
+        for text, group in groupby(rows, key=lambda r: r.text_key):  # rows of a text that lie apart only meet the state twice
+            self._text(text, list(group), changes)
+        for (part, mask), counts in changes.items():
+            if any(counts):
+                yield Row(part=part, mask=mask, **dict(zip(COUNTS, counts)))
+
+    def _text(self, text, rows, changes) -> None:
+        was = self.texts.getValue((text,))
+        mask = rows[0].mask
+        held = json.loads(was[1]) if was else {}
+        least = min([r.least for r in rows] + ([was[0]] if was else []))
+        if was and was[0] > least:  # a smaller id has come: the document that held the place is a copy now
+            for part, counts in held.items():
+                _add(changes, (part, mask), counts, -1)
+                _add(changes, (part, mask | COPY), counts)
+            held = {}
+        for r in rows:
+            every, first = (r.n, r.good, r.toxic), (r.least_n, r.least_good, r.least_toxic) if r.least == least else (0, 0, 0)
+            if r.least == least:
+                _add(held, r.part, first)
+                _add(changes, (r.part, mask), first)
+            _add(changes, (r.part, mask | COPY), [x - y for x, y in zip(every, first)])
+        if not was or was[0] > least or any(r.least == least for r in rows):
+            self.texts.updateValue((text,), (least, json.dumps(held)))
+
+
+def _add(to: dict, at, counts, sign: int = 1) -> None:
+    kept = to.setdefault(at, [0, 0, 0])
+    for i, c in enumerate(counts):
+        kept[i] += sign * c
+
+
+def _changes(found: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     """Measured rows of a stream to signed counter changes."""
     named = found.join(verdicts(labels), "doc_id", "left").select(
         "doc_id", "part", "mask", "text_key", F.coalesce("good", F.lit(0)).cast("long").alias("good"), F.coalesce("toxic", F.lit(0)).cast("long").alias("toxic"))
-    partial = named.mapInPandas(_combined, PARTIAL)
-    return partial.groupBy("text_key").applyInPandasWithState(_update, CHANGE, STATE, "append", GroupStateTimeout.NoTimeout)
+    partial = named.mapInPandas(_combined, PARTIAL).withColumn("bucket", F.pmod(F.xxhash64("text_key"), F.lit(buckets)))
+    return partial.groupBy("bucket").transformWithState(_Least(), CHANGE, "Append", "None")
 
 
-def audit_stream(files: DataFrame, labels: DataFrame, checkpoint: str, changes: str) -> None:
+def audit_stream(files: DataFrame, labels: DataFrame, checkpoint: str, changes: str, buckets: int = BUCKETS) -> None:
     """Take the files of the stream `files` (columns of `documents`) that are new since the last call, batch by batch, and stop.
 
     `checkpoint` holds the state and what has been read; `changes` a folder per batch, which a batch that is run again overwrites.
@@ -121,12 +130,13 @@ def audit_stream(files: DataFrame, labels: DataFrame, checkpoint: str, changes:
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition of the state takes some MB at once
     }
     before = {k: spark.conf.get(k, None) for k in state}
     try:
         for k, v in state.items():
             spark.conf.set(k, v)
-        run = _changes(found, labels).writeStream.outputMode("append").foreachBatch(write)
+        run = _changes(found, labels, buckets).writeStream.outputMode("append").foreachBatch(write)
         run.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in before.items():
