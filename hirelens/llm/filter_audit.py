@@ -9,18 +9,20 @@ exact at any moment, and the 120 orders are expanded from at most 32 masks a par
 
 from __future__ import annotations
 
+import hashlib
 import json
 from itertools import groupby, permutations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from hirelens.llm.common import let, settle, shared_folder
+from hirelens.llm.common import settle, shared_folder
 
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
-WORD = "[^\\x20\\x09-\\x0D]+"
+CAPITALS, SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
 
 MEASURED = "doc_id long, part string, mask int, text_key string"
@@ -30,16 +32,27 @@ COUNTS = ["n", "good", "toxic"]
 BUCKETS = 4096  # groups of texts that one call serves; as many tasks can work on the state at a time
 
 
+def own_mask(text: str) -> int:
+    """Bits of the filters A to D that a text fails by itself."""
+    raw = text.encode("utf-8")
+    words = raw.split()  # bytes split at \x20 and \x09-\x0D and at nothing else
+    capitals, signs = len(raw) - len(raw.translate(None, CAPITALS)), len(raw.translate(None, SIGNS)) < len(raw)
+    return (len(words) < 200) | (100 * len(set(words)) < 50 * len(words)) << 1 | (100 * capitals > 3 * len(text)) << 2 | signs << 3
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, part, mask, text_key): the filters that a text fails by itself, and the SHA-256 of the text."""
     own = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    capitals = F.char_length(F.regexp_replace("text", "[^A-Z]+", ""))
-    bit = lambda c, i: F.when(c, 1 << i).otherwise(0)
-    mask = let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda ws: let(F.size(ws), lambda n: (
-        bit(n < 200, 0) + bit(100 * F.size(F.array_distinct(ws)).cast("long") < 50 * n.cast("long"), 1))))
-    mask = mask + bit(100 * capitals.cast("long") > 3 * F.char_length("text").cast("long"), 2) + bit(F.col("text").rlike("[#$%&*|]"), 3)
-    return own.select("doc_id", "part", mask.cast("int").alias("mask"), F.sha2("text", 256).alias("text_key"))
+
+    def measure(batches):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            masks = pa.array([own_mask(t) for t in texts], pa.int32())
+            keys = pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), masks, keys], names=["doc_id", "part", "mask", "text_key"])
+
+    return own.mapInArrow(measure, MEASURED)
 
 
 def verdicts(labels: DataFrame) -> DataFrame:
