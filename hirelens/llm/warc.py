@@ -217,12 +217,12 @@ def resolve(spark: SparkSession, folder: str, wanted: Column | None = None) -> D
     """(page_id, payload) of the pages that `wanted` chooses in the index: a revisit's payload is read from its response."""
     entries = settle(index(spark, folder))
     asked = entries.where(wanted) if wanted is not None else entries
-    asked = asked.select("page_id", F.coalesce("refers_to", "page_id").alias("holder"), F.col("payload_digest").alias("asked_digest"))
+    asked = asked.select(F.col("page_id").alias("asked_id"), F.coalesce("refers_to", "page_id").alias("holder"), F.col("payload_digest").alias("asked_digest"))
     responses = entries.where("record_type = 'response'")
-    needed = responses.join(asked.select(F.col("holder").alias("page"), F.col("asked_digest").alias("payload_digest")).distinct(),
-                            responses.page_id.eqNullSafe(F.col("page")) & (responses.payload_digest == F.col("payload_digest")), "left_semi")
+    holders = asked.select("holder", "asked_digest").distinct()
+    needed = responses.join(holders, F.col("page_id").eqNullSafe(F.col("holder")) & (F.col("payload_digest") == F.col("asked_digest")), "left_semi")
     held = read_records(needed).select(F.col("page_id").alias("held_id"), F.col("payload_digest").alias("held_digest"), "payload").dropDuplicates(["held_id", "held_digest"])
-    return asked.join(held, F.col("holder").eqNullSafe(F.col("held_id")) & (F.col("asked_digest") == F.col("held_digest"))).select("page_id", "payload")
+    return asked.join(held, F.col("holder").eqNullSafe(F.col("held_id")) & (F.col("asked_digest") == F.col("held_digest"))).select(F.col("asked_id").alias("page_id"), "payload")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
