@@ -26,8 +26,8 @@ from hirelens.llm.common import settle
 
 SCALE, PRIOR = 1_000_000_000, 5  # fixed values of the contract: p = 1 + floor(SCALE (count + PRIOR) / (N + PRIOR V))
 MIN_DOCS, TOP_TERMS = 30, 50
-HELD = 200_000  # (group, term) counts a task holds before it sends them on
-POSTINGS = 250_000  # postings of a block of the index, about
+HELD = 400_000  # (group, term) counts a task holds before it sends them on
+POSTINGS = 50_000  # postings of a block of the index, about
 SCATTER = 1_000_000  # postings that are scattered at a time
 
 # Letters as bytes: A-Z to a-z, a-z and all bytes of characters beyond ASCII as they are, the rest to space.
