@@ -16,13 +16,14 @@ def stream_first_seen(spark, sf_dir):
     """Users of the event stream, each once: files in no order of time, one to a batch, over two checkpoints and three runs."""
     base = shared_folder(spark)
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    store = S.postings_store(spark, f"{base}/snapshot", "user_id", buckets=8)
     for part in range(3):
         # an even share of all times in each file; the second checkpoint meets the first one's files again
         events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).repartition(2).write.mode("append").parquet(f"{base}/in")
         checkpoint = f"{base}/checkpoint-{part // 2}"
         stream = S.stream_table(spark, f"{base}/in", "user_id long, ts timestamp_ntz, event_id long", max_files=1)
         name = S.stream_id(spark, checkpoint)
-        run = lambda batch, i, name=name: S.upsert_batch(batch, i, f"{base}/snapshot", "user_id", ["ts", "event_id"], stream=name)
+        run = lambda batch, i, name=name: S.upsert_batch(batch, i, store, order=["ts", "event_id"], stream=name)
         S.run_available(stream, checkpoint, run).awaitTermination()
     return S.read_upserted(spark, f"{base}/snapshot").select("user_id")
 
@@ -47,9 +48,10 @@ def stream_listings(spark, sf_dir):
     late = F.col("page_no") >= 1_000_000
     checkpoint = f"{base}/checkpoint"
     name = S.stream_id(spark, checkpoint)
+    store = S.postings_store(spark, f"{base}/snapshot", buckets=8)
     for part in (responses.where(~late & (F.col("page_no") % 2 == 0)), responses.where(~late & (F.col("page_no") % 2 == 1)), responses.where(late)):
         part.write.mode("append").json(f"{base}/in")
-        run = lambda batch, i: S.upsert_batch(domain_filter(batch), i, f"{base}/snapshot", order=["page_no", "keyword", "pos_in_page"], stream=name)
+        run = lambda batch, i: S.upsert_batch(domain_filter(batch), i, store, order=["page_no", "keyword", "pos_in_page"], stream=name)
         S.run_available(S.stream_listings(spark, f"{base}/in", max_files=4), checkpoint, run).awaitTermination()
     return S.read_upserted(spark, f"{base}/snapshot").select("job_id", "company", "industry", "raw_salary", "page_no")
 
@@ -63,10 +65,11 @@ def stream_upsert(spark, sf_dir):
     base = shared_folder(spark)
     rows = captures(spark, sf_dir).select("job_id", "company", "city", "raw_salary", "keyword", "page_no", "pos_in_page").withColumn("description", F.lit(""))
     folder, snapshot = f"{base}/pages", f"{base}/snapshot"
+    postings, details = S.postings_store(spark, snapshot, buckets=8), S.details_store(spark, snapshot, buckets=8)
 
     def ingest() -> None:
         stream = S.stream_table(spark, folder, rows.schema.simpleString()[len("struct<"):-1].replace(":", " "))
-        run = lambda batch, i: S.upsert_batch(batch, i, snapshot, order=["page_no", "keyword", "pos_in_page"])
+        run = lambda batch, i: S.upsert_batch(batch, i, postings, order=["page_no", "keyword", "pos_in_page"])
         S.run_available(stream, f"{base}/checkpoint", run).awaitTermination()
 
     rows.where("page_no < 1000000").write.mode("append").parquet(folder)
@@ -76,6 +79,6 @@ def stream_upsert(spark, sf_dir):
     ingest()  # nothing new
     detail = lambda seq, text, cond: rows.where(f"page_no < 1000000 AND {cond}").select(
         "job_id", F.concat(F.lit(text), "city").alias("description"), F.lit(seq).alias("fetched_seq"))
-    S.add_details(detail(1, "first ", "job_id % 2 = 0"), 0, snapshot)
-    S.add_details(detail(1, "second ", "job_id % 6 = 0"), 1, snapshot)
+    S.add_details(detail(1, "first ", "job_id % 2 = 0"), 0, details)
+    S.add_details(detail(1, "second ", "job_id % 6 = 0"), 1, details)
     return S.read_upserted(spark, snapshot).select("job_id", "company", "raw_salary", "page_no", "description")

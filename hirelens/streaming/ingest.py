@@ -9,13 +9,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hirelens.operators.collect import first_seen, merge_details, new_only, require_id
+from hirelens.operators.collect import first_seen, merge_details, require_id
 from hirelens.sources.listings import LISTING_SCHEMA, explode_listings
+from hirelens.streaming.store import BucketStore, read_if_any
 
 
 def stream_listings(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
@@ -42,72 +42,69 @@ def stream_dedup(df: DataFrame, key: str, event_time: str, delay: str = "7 days"
     return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
-# A snapshot folder holds two tables that only grow, with one sub-folder per stream and micro-batch:
-# new postings, and descriptions that arrived for known ones. Nothing is read and rewritten, and a
-# batch that is run again after a failure overwrites its own sub-folder only. Batch numbers start at 0 for every
-# checkpoint, so the stream's id, which is kept with the checkpoint, is part of the path. One stream writes at a time.
+# A snapshot folder holds two tables that only grow, each in hash buckets (see `store`): new postings, and descriptions that arrived
+# for known ones. Batch numbers start at 0 for every checkpoint, so the stream's id, which is kept with the checkpoint, names a batch
+# together with its number. One stream writes at a time.
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The id of the stream with this checkpoint: made at its first use and kept in the checkpoint folder."""
     path = f"{checkpoint.rstrip('/')}/stream_id"
-    known = _read_if_any(spark, path)
+    known = read_if_any(spark, path)
     if known is None:
         spark.createDataFrame([(f"s-{uuid.uuid4().hex}",)], "id string").coalesce(1).write.parquet(path)
         known = spark.read.parquet(path)
     return known.first()["id"]
 
 
-def _part(path: str, kind: str, stream: str, batch_id: int) -> str:
-    return f"{path.rstrip('/')}/{kind}/stream={stream}/batch={batch_id}"
+def postings_store(spark: SparkSession, path: str, key: str = "job_id", **settings) -> BucketStore:
+    """The postings of the snapshot at `path`; keep it over the batches of a run to read the list of runs once only."""
+    return BucketStore(spark, f"{path.rstrip('/')}/postings", key, **settings)
 
 
-def _read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as exc:
-        if exc.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def _last_details(rows: DataFrame) -> DataFrame:
+    """Of every id the text that arrived last: the last batch counts, and in it the last fetch."""
+    newest = F.max_by(F.struct("description", "fetched_seq", "batch", "stream"), F.struct("batch", "fetched_seq", "stream"))
+    return rows.where(F.col("description").isNotNull()).groupBy("job_id").agg(newest.alias("_d")).select("job_id", "_d.*")
+
+
+def details_store(spark: SparkSession, path: str, **settings) -> BucketStore:
+    """The descriptions of the snapshot at `path`; merged runs keep the last one of every id."""
+    return BucketStore(spark, f"{path.rstrip('/')}/details", "job_id", merge=_last_details, **settings)
 
 
 def upsert_batch(
-    batch: DataFrame, batch_id: int, path: str, key: str = "job_id", order: list[str] | None = None,
+    batch: DataFrame, batch_id: int, path: str | BucketStore, key: str = "job_id", order: list[str] | None = None,
     keep: Column | None = None, stream: str = "main",
 ) -> None:
     """Add the batch's first row of every id that the snapshot does not hold, whatever the order of arrival.
 
-    `stream`: see `stream_id`; batches of one stream have numbers of their own.
+    `path`: the snapshot's folder, or its `postings_store`. `stream`: see `stream_id`; batches of one stream have numbers of their own.
     """
-    spark = batch.sparkSession
-    rows = require_id(batch, key)
+    store = path if isinstance(path, BucketStore) else postings_store(batch.sparkSession, path, key)
+    rows = require_id(batch, store.key)
     if keep is not None:
         rows = rows.where(keep)
-    fresh = first_seen(rows, key, order or ["keyword", "page_no", "pos_in_page"])
-    snapshot = _read_if_any(spark, f"{path.rstrip('/')}/postings")
-    if snapshot is not None:
-        # all but what an earlier try of this very batch has left; only the id column is read
-        own = (F.col("stream") == stream) & (F.col("batch") == batch_id)
-        fresh = new_only(fresh, snapshot.where(~own), key)
-    fresh.write.mode("overwrite").parquet(_part(path, "postings", stream, batch_id))
+    store.add_new(first_seen(rows, store.key, order or ["keyword", "page_no", "pos_in_page"]), stream, batch_id)
 
 
-def add_details(batch: DataFrame, batch_id: int, path: str, stream: str = "main") -> None:
+def add_details(batch: DataFrame, batch_id: int, path: str | BucketStore, stream: str = "main") -> None:
     """Add descriptions (job_id, description, fetched_seq) for postings of the snapshot.
 
     The last batch counts, and in it the last fetch; of batches with one number in two streams the later fetch.
     """
-    batch.select("job_id", "description", "fetched_seq").write.mode("overwrite").parquet(_part(path, "details", stream, batch_id))
+    store = path if isinstance(path, BucketStore) else details_store(batch.sparkSession, path)
+    rows = batch.select("job_id", "description", "fetched_seq")
+    store.append(rows.withColumns({"batch": F.lit(batch_id).cast("long"), "stream": F.lit(stream)}), stream, batch_id)
 
 
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
     """The snapshot: all postings with the last description that arrived for each."""
-    base = path.rstrip("/")
-    postings = spark.read.parquet(f"{base}/postings").drop("stream", "batch")
-    details = _read_if_any(spark, f"{base}/details")
-    if details is None:
-        return postings
-    last = details.where(F.col("description").isNotNull()).groupBy("job_id").agg(F.max_by("description", F.struct("batch", "fetched_seq", "stream")).alias("description"))
-    return merge_details(postings, last)
+    postings = postings_store(spark, path).read()
+    if postings is None:
+        raise ValueError(f"no postings were ever added at {path}")
+    postings = postings.drop("run", "bucket")
+    details = details_store(spark, path).read()
+    return postings if details is None else merge_details(postings, _last_details(details.drop("run", "bucket")))
 
 
 def run_available(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
