@@ -28,6 +28,24 @@ def stream_first_seen(spark, sf_dir):
     return S.read_upserted(spark, f"{base}/snapshot").select("user_id")
 
 
+_ARRIVED = "(event_id * 5 + 2) % 6"
+
+
+@query(f"""WITH a AS (SELECT user_id, event_id, ts, {_ARRIVED} AS arrived, row_number() OVER (PARTITION BY user_id ORDER BY {_ARRIVED}, ts, event_id) AS rn FROM events)
+SELECT user_id, event_id, ts, arrived FROM a WHERE rn = 1""")
+def stream_first_arrival(spark, sf_dir):
+    """The event that brought each user in, by keyed state alone: six files, each with an even share of all times, in two runs."""
+    base = shared_folder(spark)
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts").withColumn("arrived", F.expr(_ARRIVED))
+    for run in range(2):
+        for part in range(3):
+            events.where(F.col("arrived") == 3 * run + part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = S.stream_table(spark, f"{base}/in", "user_id long, event_id long, ts timestamp_ntz, arrived long", max_files=1)
+        first = S.stream_dedup(stream, "user_id", ["ts", "event_id"], buckets=64)
+        S.run_available(first, f"{base}/checkpoint", lambda batch, i: batch.write.mode("overwrite").parquet(f"{base}/out/batch={i}")).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("user_id", "event_id", "ts", "arrived")
+
+
 _INDUSTRY = "CASE job_id % 7 WHEN 0 THEN '股份制银行' WHEN 1 THEN 'fintech lab' WHEN 2 THEN '互联网' WHEN 3 THEN '汽车金融' WHEN 4 THEN NULL WHEN 5 THEN '消费信托' ELSE lower(industry) END"
 
 

@@ -9,9 +9,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.types import StructType
 
 from hirelens.operators.collect import first_seen, merge_details, require_id
 from hirelens.sources.listings import LISTING_SCHEMA, explode_listings
@@ -32,14 +36,57 @@ def stream_table(spark: SparkSession, folder: str, schema: str, pattern: str = "
     )
 
 
-def stream_dedup(df: DataFrame, key: str, event_time: str, delay: str = "7 days") -> DataFrame:
-    """First arrival per key within `delay` of event time, for streams in event-time order without a snapshot.
-
-    Rows later than the watermark are dropped by the engine. Where no key may be lost, use `upsert_batch` alone: it takes the first
-    row of each key in a batch and rules out, exactly, all keys that the snapshot holds.
+class _FirstArrival(StatefulProcessor):
+    """Lets a key's first row through and remembers the key: an entry of state for every key, in a bucket of keys that one call serves."""
+
+    def __init__(self, kind: str, order: list[str]) -> None:
+        self.kind, self.order = kind, order
+
+    def init(self, handle) -> None:
+        self.seen = handle.getMapState("seen", f"key {self.kind}", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        place = lambda r: tuple((r.row[c] is not None, r.row[c]) for c in self.order)  # noqa: E731 - NULL first, as Spark sorts
+        first: dict = {}
+        for r in rows:
+            if r.key not in first or place(r) < place(first[r.key]):
+                first[r.key] = r
+        for k, r in first.items():
+            if self.seen.getValue((k,)) is None:
+                self.seen.updateValue((k,), (True,))
+                yield Row(row=r.row)
+
+
+def _first_of_each(order: list[str]):
+    """Within an Arrow batch the first row of each key, so that a key with very many copies leaves its task as a few rows."""
+    def keep(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row = b.column("row")
+            sorted_by = {"key": b.column("key"), **{f"o{i}": pc.struct_field(row, c) for i, c in enumerate(order)}}
+            at = pc.sort_indices(pa.table(sorted_by), sort_keys=[(c, "ascending") for c in sorted_by], null_placement="at_start")
+            keys = b.column("key").take(at)
+            new = pa.concat_arrays([pa.array([True]), pc.not_equal(keys[1:], keys[:-1])])
+            yield b.take(at.filter(new))
+    return keep
+
+
+def stream_dedup(df: DataFrame, key: str, order: list[str] | None = None, buckets: int = 4096) -> DataFrame:
+    """First arrival per key over all batches and runs of a checkpoint: no watermark, so no key is lost however late it comes.
+
+    The state holds every key for good, in RocksDB on the executors' disks (see `run_available`). With `order` the first row of a key's
+    first batch passes, which takes one Arrow pass; ties must be broken by the caller. Without it some row of that batch passes and all
+    is built in. Rows without a key are dropped. `buckets`: groups of keys that one call serves, and the most tasks that share the state.
     """
-    timed = df.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+    rows = require_id(df, key)
+    if order is None:
+        return rows.dropDuplicates([key])
+    kind = df.schema[key].dataType.simpleString()
+    held = rows.select(F.col(key).alias("key"), F.struct(*df.columns).alias("row"))
+    few = held.mapInArrow(_first_of_each(order), held.schema).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    passed = few.groupBy("bucket").transformWithState(_FirstArrival(kind, order), StructType([held.schema["row"]]), "Append", "None")
+    return passed.select("row.*")
 
 
 # A snapshot folder holds two tables that only grow, each in hash buckets (see `store`): new postings, and descriptions that arrived
@@ -107,6 +154,25 @@ def read_upserted(spark: SparkSession, path: str) -> DataFrame:
     return postings if details is None else merge_details(postings, _last_details(details.drop("run", "bucket")))
 
 
+KEYED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition of the state takes some MB at once
+}
+
+
 def run_available(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Take what is new since the last run with this checkpoint, batch by batch, and stop."""
-    return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Take what is new since the last run with this checkpoint, batch by batch, and stop.
+
+    State of keyed operators is kept on disk by RocksDB, in bounded memory, and saved to the checkpoint with every batch.
+    """
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in KEYED_STATE}
+    for k, v in KEYED_STATE.items():
+        conf.set(k, v)
+    try:  # a query keeps the settings it was started with
+        return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from hirelens.session import shared_folder
@@ -65,11 +66,25 @@ def test_details_keep_the_last_success(spark):
     assert {r["job_id"]: r["description"] for r in S.read_upserted(spark, base).collect()} == {"a": "new", "b": ""}
 
 
-def test_stream_dedup(spark):
-    base = shared_folder(spark)
-    rows = spark.range(40).select(F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") % 7).alias("k"))
-    rows.write.parquet(f"{base}/in")
-    out = S.stream_dedup(S.stream_table(spark, f"{base}/in", "ts timestamp, k long"), "k", "ts", "1 day")
+@pytest.mark.parametrize("order", [None, ["ts", "n"]])
+def test_stream_dedup(spark, order):
+    """Keys come back late, early, many times and in a second run: the first batch that has a key wins, and no key is lost."""
+    base, schema = shared_folder(spark), "ts timestamp, k string, n int, tags array<string>"
+    files = [[("a", 50, 0), ("b", 40, 1), ("a", 30, 2), (None, 1, 3), ("", 1, 4)], [("c", 1, 0), ("a", 0, 1)] + [("hot", 99 - i, i) for i in range(99)],
+             [("b", 0, 0), ("d", 10**6, 1), ("d", 10**6, 0)], [("e", None, 1), ("e", 5, 0), ("c", 0, 5), ("hot", 0, 0)]]
     seen = []
-    S.run_available(out, f"{base}/cp", lambda b, i: seen.extend(r["k"] for r in b.collect())).awaitTermination()
-    assert sorted(seen) == list(range(7))
+
+    def run():
+        out = S.stream_dedup(S.stream_table(spark, f"{base}/in", schema, max_files=1), "k", order, buckets=2)
+        S.run_available(out, f"{base}/cp", lambda b, i: seen.extend((r.k, r.ts and r.ts.timestamp(), r.n, r.tags) for r in b.collect())).awaitTermination()
+
+    for i, rows in enumerate(files):
+        df = spark.createDataFrame([(k, t, n) for k, t, n in rows], "k string, t long, n int")
+        df.select(F.timestamp_seconds("t").alias("ts"), "k", "n", F.array("k").alias("tags")).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        if i % 2:
+            run()
+    run()
+    assert sorted(r[0] for r in seen) == ["a", "b", "c", "d", "e", "hot"]
+    if order:
+        assert sorted(seen, key=lambda r: r[0]) == [
+            ("a", 30, 2, ["a"]), ("b", 40, 1, ["b"]), ("c", 1, 0, ["c"]), ("d", 10**6, 0, ["d"]), ("e", None, 1, ["e"]), ("hot", 1, 98, ["hot"])]
