@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from hirelens.constants import DOMAIN_TERMS
 from hirelens.functions.text import any_term, has_description
 from hirelens.operators.prefix import running_totals, same_keys
+from hirelens.operators.terms import TermSet, has_any
 
 
 def require_id(df: DataFrame, key: str = "job_id") -> DataFrame:
@@ -16,9 +17,14 @@ def require_id(df: DataFrame, key: str = "job_id") -> DataFrame:
     return df.where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
 
 
-def domain_filter(df: DataFrame, terms: list[str] | None = None, cols: list[str] | None = None) -> DataFrame:
-    """Keep rows where a term occurs, in any letter case, in the joined columns (NULL counts as empty)."""
+def domain_filter(df: DataFrame, terms: list[str] | TermSet | None = None, cols: list[str] | None = None) -> DataFrame:
+    """Keep rows where a term occurs, in any letter case, in the joined columns (NULL counts as empty).
+
+    A list is a pattern, for some dozens of terms; a `TermSet` is searched by an automaton, for any number.
+    """
     cols = cols or ["industry", "company", "title"]
+    if isinstance(terms, TermSet):
+        return df.where(has_any(F.concat_ws(" ", *cols), terms))
     return df.where(F.concat_ws(" ", *cols).rlike(any_term(terms or DOMAIN_TERMS)))
 
 

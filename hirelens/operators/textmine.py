@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hirelens.functions.text import word_tokens
 from hirelens.operators.prefix import hot_key_join
+from hirelens.operators.terms import TermSet, find_terms
 from hirelens.session import settle
 
 
-def tokenise(df: DataFrame, doc: str, col: str, words: list[str] | None = None, place: bool = False) -> DataFrame:
+def tokenise(df: DataFrame, doc: str, col: str, words: list[str] | DataFrame | TermSet | None = None, place: bool = False) -> DataFrame:
     """(doc, term) rows, one per occurrence.
 
-    Without `words`: Latin words and bigrams of Han runs. With `words`: only these words, the longest match first. Both are
-    built-in expressions.
+    Without `words`: Latin words and bigrams of Han runs, by built-in expressions. With `words`: only these words, the longest match
+    first, by one automaton over all of them (see `terms`).
 
     With `place` the texts are first spread by document id. Counting terms per document then needs
     no further shuffle, and the texts are several times smaller than the (doc, term) rows that
@@ -27,9 +26,7 @@ def tokenise(df: DataFrame, doc: str, col: str, words: list[str] | None = None,
         df = df.select(doc, col).repartition(doc)
     if words is None:
         return df.select(doc, F.explode(word_tokens(F.col(col))).alias("term"))
-    longest_first = sorted({w.lower() for w in words}, key=lambda w: (-len(w), w))
-    pattern = "|".join(re.escape(w) for w in longest_first)
-    return df.select(doc, F.explode(F.regexp_extract_all(F.lower(F.col(col)), F.lit(pattern), 0)).alias("term"))
+    return find_terms(df, doc, col, words if isinstance(words, TermSet) else TermSet(df.sparkSession, words))
 
 
 def drop_stopwords(tokens: DataFrame, stop: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hirelens.operators import textmine as X
+from hirelens.operators.collect import domain_filter
 from hirelens.operators.describe import salary_group
 from hirelens.plans.registry import as_long, query, rounded
 from hirelens.plans.views import (
@@ -125,3 +126,31 @@ DICTIONARY = ["the", "ther", "tion", "elle", "ción", "und", "auf"]
 def dict_tokens(spark, sf_dir):
     """Dictionary mode: longest match of a word list anywhere in the text."""
     return X.term_freq(X.tokenise(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", DICTIONARY))
+
+
+_PART_WORDS = "SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part"
+
+
+def part_words(spark, sf_dir):
+    """The word list of the two queries below: all distinct words of the part names."""
+    return table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("term"))
+
+
+@query(f"""WITH p AS (SELECT string_agg(w, '|' ORDER BY length(w) DESC, w) AS pattern FROM ({_PART_WORDS}) x WHERE w <> ''),
+t AS (SELECT unnest(regexp_extract_all(concat(lower(text), ' ', coalesce(source, '')), pattern)) AS term FROM documents, p
+  UNION ALL SELECT unnest(regexp_extract_all(lower(replace(p_name, ' ', '')), pattern)) FROM part, p)
+SELECT term, count(*) AS n FROM t GROUP BY 1""")
+def part_word_tokens(spark, sf_dir):
+    """Dictionary mode with a list that comes from a table, over all documents and over part names without their blanks."""
+    words = X.TermSet(spark, part_words(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "text", F.coalesce("source", F.lit(""))).alias("text"))
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.replace("p_name", F.lit(" "), F.lit("")).alias("text"))
+    return X.term_freq(X.tokenise(docs.unionAll(names), "doc_id", "text", words))
+
+
+@query(f"""WITH p AS (SELECT string_agg(w, '|') AS pattern FROM ({_PART_WORDS}) x WHERE w <> '')
+SELECT page_id, url FROM pages, p WHERE regexp_matches(concat_ws(' ', lower(url), lower(html)), pattern)""")
+def domain_filter_words(spark, sf_dir):
+    """The domain filter with the distinct words of the part names as its terms."""
+    words = X.TermSet(spark, part_words(spark, sf_dir))
+    return domain_filter(table(spark, sf_dir, "pages"), words, ["url", "html"]).select("page_id", "url")
