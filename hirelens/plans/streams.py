@@ -74,6 +74,39 @@ def stream_listings(spark, sf_dir):
     return S.read_upserted(spark, f"{base}/snapshot").select("job_id", "company", "industry", "raw_salary", "page_no")
 
 
+# page_no % 7: 3 was cut off, 4 is a page of HTML over two lines, 5 is a list, 6 was blocked; the others are sound
+_CUT, _HTML = "concat('{\"code\":0,\"keyword\":\"', keyword, '\",\"page_no\":', page_no, ',\"zpData\":{\"jobList\":[{\"encryptJobId')", "concat('<html><body>', keyword, ' ', page_no)"
+
+
+@query(f"""WITH {CAPTURES_SQL}, p AS (SELECT DISTINCT keyword, page_no FROM captures),
+kept AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY page_no, keyword, pos_in_page) AS rn FROM captures
+  WHERE job_id IS NOT NULL AND page_no % 7 < 3)
+SELECT 'posting' AS kind, CAST(job_id AS VARCHAR) AS ref, page_no, raw_salary AS raw FROM kept WHERE rn = 1
+UNION ALL SELECT 'error', NULL, NULL, {_CUT} FROM p WHERE page_no % 7 = 3
+UNION ALL SELECT 'error', NULL, NULL, unnest([{_HTML}, '</body></html>']) FROM p WHERE page_no % 7 = 4
+UNION ALL SELECT 'error', NULL, NULL, concat('[{{"code":0,"page_no":', page_no, '}}]') FROM p WHERE page_no % 7 = 5
+UNION ALL SELECT 'blocked', '37', page_no, NULL FROM p WHERE page_no % 7 = 6""")
+def stream_quarantine(spark, sf_dir):
+    """Captured pages of which most are broken in some way, in three runs: postings of the sound ones, and every other response kept."""
+    base = shared_folder(spark)
+    job = F.struct(F.col("job_id").cast("string").alias("encryptJobId"), F.col("raw_salary").alias("salaryDesc"))
+    rows = captures(spark, sf_dir).select("keyword", "page_no", "pos_in_page", job.alias("job"))
+    pages = rows.groupBy("keyword", "page_no").agg(F.array_sort(F.collect_list(F.struct("pos_in_page", "job"))).alias("jobs")).withColumn("kind", F.expr("page_no % 7"))
+    sound = F.to_json(F.struct(F.when(F.col("kind") == 6, "37").otherwise("0").alias("code"), F.struct(F.col("jobs.job").alias("jobList")).alias("zpData"), "keyword", "page_no"))
+    text = (F.when(F.col("kind") == 3, F.expr(_CUT)).when(F.col("kind") == 4, F.concat(F.expr(_HTML), F.lit("\n</body></html>\n")))
+            .when(F.col("kind") == 5, F.concat(F.lit('[{"code":0,"page_no":'), "page_no", F.lit("}]"))).otherwise(sound))
+    store, checkpoint = S.postings_store(spark, f"{base}/snapshot", buckets=8), f"{base}/checkpoint"
+    name = S.stream_id(spark, checkpoint)
+    late = F.col("page_no") >= 1_000_000
+    for part in (~late & (F.col("page_no") % 2 == 0), ~late & (F.col("page_no") % 2 == 1), late):
+        pages.where(part).select(text.alias("value")).write.mode("append").text(f"{base}/in")
+        run = lambda batch, i: S.ingest_responses(batch, i, store, f"{base}/quarantine", order=["page_no", "keyword", "pos_in_page"], stream=name)
+        S.run_available(S.stream_responses(spark, f"{base}/in", max_files=8), checkpoint, run).awaitTermination()
+    good = S.read_upserted(spark, f"{base}/snapshot").select(F.lit("posting").alias("kind"), F.col("job_id").alias("ref"), "page_no", F.col("raw_salary").alias("raw"))
+    bad = spark.read.parquet(f"{base}/quarantine").where("file IS NOT NULL")
+    return good.unionAll(bad.select("status", "code", "page_no", "broken_text"))
+
+
 @query(f"""WITH {CAPTURES_SQL},
 kept AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY page_no, keyword, pos_in_page) AS rn FROM captures WHERE job_id IS NOT NULL)
 SELECT job_id, company, raw_salary, page_no, CASE WHEN job_id % 6 = 0 THEN concat('second ', city) WHEN job_id % 2 = 0 THEN concat('first ', city) ELSE '' END AS description

@@ -18,14 +18,19 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from hirelens.operators.collect import first_seen, merge_details, require_id
-from hirelens.sources.listings import LISTING_SCHEMA, explode_listings
+from hirelens.sources.listings import explode_listings, parse_responses, quarantine
 from hirelens.streaming.store import BucketStore, read_if_any
 
 
+def stream_responses(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
+    """Listing responses (JSON lines) that keep arriving in a folder, broken ones too, with their status."""
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder).select("value", F.col("_metadata.file_path").alias("file"))
+    return parse_responses(lines)
+
+
 def stream_listings(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """Posting rows from listing responses (JSON lines) that keep arriving in a folder."""
-    raw = spark.readStream.schema(LISTING_SCHEMA).option("maxFilesPerTrigger", max_files).json(folder)
-    return explode_listings(raw)
+    """Posting rows of the responses with status ok; see `ingest_responses` for a run that keeps the others too."""
+    return explode_listings(stream_responses(spark, folder, max_files))
 
 
 def stream_table(spark: SparkSession, folder: str, schema: str, pattern: str = "*", max_files: int = 1000) -> DataFrame:
@@ -144,6 +149,23 @@ def add_details(batch: DataFrame, batch_id: int, path: str | BucketStore, stream
     store.append(rows.withColumns({"batch": F.lit(batch_id).cast("long"), "stream": F.lit(stream)}), stream, batch_id)
 
 
+def ingest_responses(
+    batch: DataFrame, batch_id: int, path: str | BucketStore, quarantined: str, keep: Callable[[DataFrame], DataFrame] | None = None,
+    order: list[str] | None = None, stream: str = "main",
+) -> None:
+    """A batch of `stream_responses`: postings into the snapshot, everything else into the table `quarantined`.
+
+    `keep` filters the postings. A batch that is run again overwrites its own part of the quarantine.
+    """
+    rows = batch.persist()  # parsed once for both
+    try:
+        quarantine(rows).write.mode("overwrite").parquet(f"{quarantined.rstrip('/')}/stream={stream}/batch={batch_id}")
+        postings = explode_listings(rows)
+        upsert_batch(keep(postings) if keep else postings, batch_id, path, order=order, stream=stream)
+    finally:
+        rows.unpersist()
+
+
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
     """The snapshot: all postings with the last description that arrived for each."""
     postings = postings_store(spark, path).read()

@@ -47,6 +47,30 @@ def test_response_status(spark):
     assert [r[0] for r in df.select(listings.response_status(F.col("code"))).collect()] == ["blocked", "ok", "ok", "error"]
 
 
+GOOD = '{"code": 0, "keyword": "k", "page_no": 1, "zpData": {"jobList": [{"encryptJobId": "a"}]}}'
+BAD = [GOOD[:60], "<html>", "[1]", f"[{GOOD}]", '"text"', "7", "null", '{"code": 0, "zpData": "oops"}', '{"code": 0, "page_no": "many"}', "[]", "{"]
+
+
+def test_broken_responses_are_kept(spark, tmp_path):
+    """Nothing that is not a response passes as an empty page; each comes out whole with its file."""
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.json").write_text("\n".join([GOOD, "", "  ", *BAD, '{"code": 37, "keyword": "k", "page_no": 2}', "{}"]), encoding="utf-8")
+    got = listings.read_responses(spark, str(tmp_path / "one"))
+    assert sorted(r.status for r in got.collect()) == ["blocked"] + ["error"] * len(BAD) + ["ok", "ok"]
+    bad = listings.quarantine(got).collect()
+    assert sorted(r.broken_text for r in bad if r.status == "error") == sorted(BAD)
+    assert all(r.file.endswith("/one/a.json") for r in bad)
+    assert [(r.code, r.page_no, r.broken_text) for r in bad if r.status == "blocked"] == [("37", 2, None)]
+    assert [r.job_id for r in listings.read_listings(spark, str(tmp_path / "one")).collect()] == ["a"]
+    whole = tmp_path / "whole"
+    whole.mkdir()
+    (whole / "good.json").write_text(GOOD.replace(", ", ",\n"), encoding="utf-8")
+    (whole / "page.html").write_text("<html>\n<body>verify</body>\n</html>", encoding="utf-8")
+    got = listings.read_responses(spark, str(whole), multi_line=True)
+    assert sorted((r.status, r.broken_text) for r in got.collect()) == [("error", "<html>\n<body>verify</body>\n</html>"), ("ok", None)]
+    assert listings.read_listings(spark, str(whole), multi_line=True).count() == 1
+
+
 DETAIL = [
     ('<div class="job-sec-text fold">first<br>line<div>inner</div></div><p>out</p>', "firstlineinner"),
     ('<div class="job-sec-text">  </div><div class="job-sec"><h3>t</h3><div class="text"> second </div></div>', "second"),
