@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hirelens.operators.prefix import quantiles_of, ranked_counts, running_totals, same_keys, value_bucket, value_counts
+from hirelens.operators.prefix import quantiles_of, ranked_counts, ranked_rows, running_totals, same_keys, value_bucket, value_counts
 from hirelens.session import settle
 
 
@@ -38,8 +38,8 @@ def mean_by(df: DataFrame, by: list[str], col: str) -> DataFrame:
 
 
 def rank_groups(df: DataFrame, measure: str, tie: str, out: str = "rank") -> DataFrame:
-    """Number the rows of a small result table by a measure, highest first."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(F.desc(measure), tie)))
+    """Number the rows of a result table by a measure, highest first, however many groups it has."""
+    return ranked_rows(df, [F.desc(measure), F.asc(tie)], out)
 
 
 def rank_by_median(df: DataFrame, by: str, col: str) -> DataFrame:

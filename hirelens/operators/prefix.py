@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hirelens.session import settle
+
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on `keys` where NULL equals NULL; the keys come once, from the left."""
@@ -54,6 +56,21 @@ def running_totals(df: DataFrame, values: list[str], by: list[str], order: list[
         *[f"{v}_total" for v in values])
 
 
+def ranked_rows(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
+    """Number the rows 1, 2, 3, ... in `order` (which has no ties) without putting them into one task.
+
+    The rows are dealt into ranges by sampled splitters and written, since a second sampling may split elsewhere; each range is numbered by
+    itself and then moved by the sizes of the ranges ahead of it, of which there are as many as shuffle partitions.
+    """
+    part, ahead_of = "_range", Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = settle(df.repartitionByRange(ranges, *order).withColumn(part, F.spark_partition_id()))
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_size"))
+    ahead = sizes.select(part, F.coalesce(F.sum("_size").over(ahead_of), F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return rows.withColumn(out, inside).join(ahead, part).withColumn(out, F.col(out) + F.col("_ahead")).drop(part, "_ahead")
+
+
 def value_counts(df: DataFrame, col: str, by: list[str], keep_groups: bool = False) -> DataFrame:
     """(group, value, n): rows collapse to distinct values before anything is sorted.
 

@@ -100,6 +100,24 @@ def tfidf(tokens: DataFrame, doc: str, n_docs: Column) -> DataFrame:
     return unit_length(weigh(counts, freq, settle(hot_terms(freq, n_docs)), doc), doc)
 
 
+def hash_slot(term: Column, width: int) -> Column:
+    """The slot of a term among `width`: the first 32 bits of its MD5, the same in any engine."""
+    return F.pmod(F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(width))
+
+
+def hashed_tfidf(tokens: DataFrame, doc: str, n_docs: Column, width: int = 1 << 18) -> DataFrame:
+    """(doc, slot, w): TF-IDF weights over `width` hashed slots, each document scaled to length 1.
+
+    For vocabularies without end (typing errors, numbers, ids): terms of one slot count as one term, so the table of weights has `width`
+    rows at most however many terms there are, and the engine can send it to all tasks instead of shuffling the counts by term.
+    """
+    slots = tokens.select(doc, hash_slot(F.col("term"), width).alias("term"))
+    counts = settle(term_counts(slots, doc))
+    freq = settle(document_frequency(counts, n_docs)).select("term", "idf")
+    weights = counts.join(freq, "term").select(doc, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    return unit_length(weights, doc).withColumnRenamed("term", "slot")
+
+
 def unit_length(weights: DataFrame, doc: str) -> DataFrame:
     """Scale every document to length 1."""
     # a window: one document's terms are never more than its words

@@ -9,8 +9,10 @@ from hirelens.functions.levels import career_stage
 from hirelens.functions.salary import flow_band
 from hirelens.operators import charts as G
 from hirelens.operators import describe as D
+from hirelens.operators import sketches as K
 from hirelens.plans.registry import as_double, as_long, query, rounded
 from hirelens.plans.views import CLEAN_SQL, MODELLED_SQL, POSTINGS_SQL, clean, modelled, postings, table, tag_rows_sql, with_tags
+from hirelens.session import settle
 
 Y = "salary_month_k"
 
@@ -90,6 +92,25 @@ def box_stats(spark, sf_dir):
     return rounded(D.box_stats(rounded(clean(spark, sf_dir), Y), Y, ["job_type"], 0.5), "q1", "median", "q3")
 
 
+_ERROR, _PROBS = 0.02, {"q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95}
+
+
+@query(f"""WITH {CLEAN_SQL}, p AS (SELECT unnest([{', '.join(f"'{k}'" for k in _PROBS)}]) AS quantile)
+SELECT job_type, quantile, count({Y}) AS n, true AS within_error FROM clean, p GROUP BY 1, 2""")
+def sketch_quantiles(spark, sf_dir):
+    """Quantiles by job type out of merged sketches by city and job type, each held against its true rank."""
+    rows = rounded(clean(spark, sf_dir), Y).select("city", "job_type", Y)
+    parts = settle(K.sketched(rows, Y, ["city", "job_type"], _ERROR))
+    found = settle(K.sketch_quantiles(K.merged(parts, ["job_type"]), ["job_type"], _PROBS))
+    ranks = rows.join(found.drop("n"), "job_type").groupBy("job_type").agg(
+        F.count(Y).alias("n"), *[F.count_if(F.col(Y) < F.col(q)).alias(f"{q}_below") for q in _PROBS], *[F.count_if(F.col(Y) <= F.col(q)).alias(f"{q}_to") for q in _PROBS])
+    each = F.explode(F.array(*[F.struct(
+        F.lit(q).alias("quantile"),
+        # the value holds the ranks from _below to _to
+        ((F.col(f"{q}_below") <= (p + _ERROR) * F.col("n")) & (F.col(f"{q}_to") >= (p - _ERROR) * F.col("n"))).alias("within_error")) for q, p in _PROBS.items()]))
+    return ranks.select("job_type", "n", each.alias("e")).select("job_type", "e.quantile", "n", "e.within_error")
+
+
 @query(f"""WITH {CLEAN_SQL}, v AS (SELECT round({Y}, 6) AS v FROM clean WHERE {Y} IS NOT NULL)
 SELECT floor(v / 5.0::DOUBLE) * 5.0::DOUBLE AS bin_from, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM v), 6) AS share FROM v GROUP BY 1""")
 def histogram(spark, sf_dir):

@@ -66,6 +66,18 @@ def tfidf_vectors(spark, sf_dir):
     return rounded(X.tfidf(doc_tokens(spark, sf_dir, place=True), "doc_id", document_count(spark, sf_dir)), "w")
 
 
+_WIDTH = 4096
+
+
+@query(f"""WITH {TOKENS_SQL}, slots AS (SELECT doc_id, CAST(concat('0x', substr(md5(term), 1, 8)) AS BIGINT) % {_WIDTH} AS slot FROM tokens),
+counts AS (SELECT doc_id, slot, count(*) AS tf FROM slots GROUP BY 1, 2),
+freq AS (SELECT slot, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf FROM counts GROUP BY 1)
+SELECT doc_id, slot, round(tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)), 6) AS w FROM counts JOIN freq USING (slot)""")
+def hashed_vectors(spark, sf_dir):
+    """TF-IDF over hashed slots instead of a vocabulary."""
+    return rounded(X.hashed_tfidf(doc_tokens(spark, sf_dir, place=True), "doc_id", document_count(spark, sf_dir), _WIDTH), "w")
+
+
 @query(f"WITH {TFIDF_SQL} SELECT term, round(sum(w) / (SELECT count(*) FROM high), 6) AS weight FROM vectors WHERE doc_id IN (SELECT doc_id FROM high) GROUP BY 1")
 def high_template(spark, sf_dir):
     vectors = X.tfidf(doc_tokens(spark, sf_dir, place=True), "doc_id", document_count(spark, sf_dir))

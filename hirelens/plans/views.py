@@ -9,7 +9,7 @@ from hirelens.constants import EDUCATION_LEVELS, EXPERIENCE_LEVELS, SALARY_PATTE
 from hirelens.functions.levels import edu_level, exp_level, parse_experience
 from hirelens.functions.salary import parse_salary
 from hirelens.operators.textmine import similarity, tokenise
-from hirelens.session import settle
+from hirelens.session import stored
 
 # Labels that the view hands out by key.
 SOURCES = ["BOSS直聘", "前程无忧 (51job)", "智联招聘"]
@@ -191,12 +191,10 @@ def doc_similarity(spark: SparkSession, sf_dir: str, folds: int | None = None) -
 
 
 def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean postings with the similarity of their description.
-
-    Similarity is settled once per document, so a model that reads its rows twice does not mine the texts twice.
-    """
+    """Clean postings with the similarity of their description, which is a stored feature: texts are mined once for all models."""
     rows = with_doc_id(clean(spark, sf_dir), spark, sf_dir)
-    return rows.join(settle(doc_similarity(spark, sf_dir)), "doc_id", "left")
+    sources = [f"{sf_dir}/{t}.parquet" for t in ("documents", "labels")]
+    return rows.join(stored(spark, "similarity", sources, lambda: doc_similarity(spark, sf_dir)), "doc_id", "left")
 
 
 LATIN_SQL = "[A-Za-zÀ-ÖØ-öø-ɏ][A-Za-z0-9À-ÖØ-öø-ɏ+#]*"

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
@@ -58,3 +61,24 @@ def settle(df: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, name: str, paths: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A feature table that is built once per application and inputs, and read by everything that needs it afterwards.
+
+    `paths`: the files it is made from. Their names, sizes and times are part of its name, so that changed inputs give a new table.
+    A table that was not written to its end is built again.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    # added up by the executors: a corpus may have a million files
+    state = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("s")).first()["s"]
+    base = shared_folder(spark).rsplit("/", 1)[0]
+    path = f"{base}/hirelens-{spark.sparkContext.applicationId}-{name}-{state}"
+    try:
+        spark.read.schema("id long").parquet(f"{path}/done")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        build().write.mode("overwrite").parquet(f"{path}/rows")
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/done")
+    return spark.read.parquet(f"{path}/rows")
