@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelens.session import settle, shared_folder
 
-__all__ = ["settle", "shared_folder", "table", "documents", "let", "fresh", "partitions", "ascii_lower", "EDGE_SPACE", "SPACE_CLASS"]
+__all__ = ["settle", "shared_folder", "table", "documents", "let", "fresh", "partitions", "small_batches", "ascii_lower", "EDGE_SPACE", "SPACE_CLASS"]
 
 # The white space of the contracts, \x20 and \x09-\x0D.
 EDGE_SPACE = " \t\n\x0b\x0c\r"
@@ -44,6 +45,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Within this, what Spark runs hands Python tasks Arrow batches of about `size` bytes: a few long texts make a batch, not ten thousand."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, lengthened until no column of `df` has it."""
     while name.lower() in (c.lower() for c in df.columns):
