@@ -29,14 +29,16 @@ K1, B = 1.2, 0.75
 SHARD_PART = 32  # bits of sequence_id below the shard number
 
 _tokenizers: dict = {}
+_place = np.zeros(VOCABULARY, np.int32)  # scratch of `distinct`
 
 
 # The tokenizer file's own split, over ASCII text and over any text.
-_ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+# (letters come first: an alternative is told by its first character but for the apostrophe, so the order of the others is free)
+_ASCII_SPLIT = re.compile(r"[a-z]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\sa-z0-9]+", re.ASCII)
 _LATIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿŒœŠšŽž]*")  # composed letters of western Europe, which a plain pattern can tell
-_LATIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿßœšž]+|[0-9]|[^\sa-zà-öø-ÿßœšž0-9]+", re.ASCII)
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")  # texts with these, or with "<|", the tokenizer takes whole
+_LATIN_SPLIT = re.compile(r"[a-zà-öø-ÿßœšž]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\sa-zà-öø-ÿßœšž0-9]+", re.ASCII)
+_SPLIT = regex.compile(r"[\p{L}]+|[\p{N}]|'(?:[stmd]|re|ve|ll)|[^\s\p{L}\p{N}]+")
+_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\u0130]")  # texts with these (U+0130 grows when lower-cased), or with "<|", the tokenizer takes whole
 
 
 class WordTokenizer:
@@ -127,11 +129,20 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     return documents(docs).mapInArrow(_tokenize(path), "doc_id long, ids binary")
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids of a document and how often each comes, without a sort: one place stands for all places of an id."""
+    at = np.arange(len(ids), dtype=np.int32)
+    _place[ids] = at
+    stands = _place[ids]
+    one = stands == at
+    return ids[one], np.bincount(stands, minlength=len(ids))[one]
+
+
 def _frequency(batches):
     seen = np.zeros(VOCABULARY, np.int64)
     for batch in batches:
-        for ids in batch.column(0).to_pylist():
-            seen[np.unique(np.frombuffer(ids, "<u2"))] += 1
+        for ids in batch.column(0):
+            seen[distinct(np.frombuffer(ids.as_buffer(), "<u2"))[0]] += 1
     at = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at])], names=["id", "n"])
 
@@ -142,7 +153,7 @@ class ShardIndex:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
         ids, owner, count = [], [], []
         for d, x in enumerate(docs):
-            u, c = np.unique(x, return_counts=True)
+            u, c = distinct(x)
             ids.append(u), count.append(c), owner.append(np.full(len(u), d, np.int32))
         self.terms = ids
         flat, owner, tf = np.concatenate(ids), np.concatenate(owner), np.concatenate(count).astype(np.float32)
