@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hirelens.session import settle, shared_folder
 
-__all__ = ["settle", "shared_folder", "table", "documents", "let", "fresh", "partitions", "small_batches", "ascii_lower", "EDGE_SPACE", "SPACE_CLASS"]
+__all__ = ["settle", "shared_folder", "table", "documents", "let", "fresh", "partitions", "small_batches", "release", "ascii_lower", "EDGE_SPACE", "SPACE_CLASS"]
 
 # The white space of the contracts, \x20 and \x09-\x0D.
 EDGE_SPACE = " \t\n\x0b\x0c\r"
@@ -57,6 +57,11 @@ def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished steps now; its cleaner waits for a garbage collection of the driver otherwise."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, lengthened until no column of `df` has it."""
     while name.lower() in (c.lower() for c in df.columns):
