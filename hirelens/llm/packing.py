@@ -117,7 +117,7 @@ def _tokenize(path: str):
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, 500_000):  # their different words fit the processor's cache
                 ids = tokenizer(path).encode_batch(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
