@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -58,7 +59,11 @@ def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
 
 
 def release(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of finished steps now; its cleaner waits for a garbage collection of the driver otherwise."""
+    """Have Spark delete the shuffle files of finished steps now; its cleaner waits for a garbage collection of the driver otherwise.
+
+    The Python side hands back its references about once a second, hence the pause.
+    """
+    time.sleep(2.5)
     spark.sparkContext._jvm.System.gc()
 
 
