@@ -3,17 +3,20 @@
 Pass 1 hashes each text and sets bits in a sharded filter that keeps, per bit, "set once" and "set again". Tasks send only bit
 positions, merged per task and shard. Pass 2 tests each hash against the "set again" bits: a hash with any bit set only once
 occurs once in the table, and its row passes straight through. Only the rest is grouped by the full SHA-256, so the result is
-exact whatever the filter says; a filter that is too small for the table only lets more rows into the shuffle.
+exact whatever the filter says. Tasks read at most `max_bits` of filter at a time: a larger table is cut by a hash of the digest into
+segments, which go through both passes one after the other, each with a filter of its own, so a row has its bits at any size.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import documents, settle
+from hirelens.llm.common import documents, settle, shared_folder
 
 SHARD = 20  # bits of a position inside a shard: 2**20 bits, 128 KB
 HASHES = 4
@@ -93,6 +96,35 @@ def _flag(shared, bits: int):
     return run
 
 
+def filter_shape(rows: int, max_bits: int) -> tuple[int, int]:
+    """(segments, bits of a segment's filter): BITS_PER_ROW bits a row or more, never over `max_bits` at a time."""
+    segments = max(1, math.ceil(BITS_PER_ROW * rows / max_bits))
+    bits = 1 << SHARD
+    while bits < BITS_PER_ROW * rows / segments:
+        bits *= 2
+    return segments, bits
+
+
+def flag_repeats(hashed: DataFrame, rows: int, max_bits: int) -> DataFrame:
+    """(doc_id, digest, maybe) of `hashed` (doc_id, digest): `maybe` is false only where the digest comes once.
+
+    Digests are written once, in a folder per segment; each segment reads its own folder twice and shuffles bit positions only.
+    """
+    spark = hashed.sparkSession
+    segments, bits = filter_shape(rows, max_bits)
+    held, out = shared_folder(spark), shared_folder(spark)
+    hashed.withColumn("segment", F.pmod(F.xxhash64("digest"), F.lit(segments)).cast("int")).write.partitionBy("segment").parquet(held)
+    schema = "doc_id long, digest binary"
+    for s in range(segments if rows else 0):
+        own = spark.read.schema(f"{schema}, segment int").parquet(held).where(F.col("segment") == s).select("doc_id", "digest")
+        shared = spark.sparkContext.broadcast(repeat_filter(own, bits))
+        own.mapInArrow(_flag(shared, bits), f"{schema}, maybe boolean").write.parquet(f"{out}/part={s}")
+        shared.unpersist()
+    if not rows:
+        return spark.createDataFrame([], f"{schema}, maybe boolean")
+    return spark.read.schema(f"{schema}, maybe boolean, part int").parquet(out).drop("part")
+
+
 def exact_dedup(docs: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, shuffled): one row per row of `docs`.
 
@@ -101,15 +133,7 @@ def exact_dedup(docs: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
     a doc_id and its text count in `group_size` each and share their verdict. A NULL doc_id is smaller than any other; a group
     of only such rows keeps them (keep_id NULL). An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    hashed = settle(documents(docs).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")))
-    bits = 1 << SHARD
-    rows = hashed.count()
-    while bits < min(max_bits, BITS_PER_ROW * rows):
-        bits *= 2
-    shared = spark.sparkContext.broadcast(repeat_filter(hashed, bits))
-    flagged = settle(hashed.mapInArrow(_flag(shared, bits), "doc_id long, digest binary, maybe boolean"))
-    shared.unpersist()
+    flagged = flag_repeats(documents(docs).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")), docs.count(), max_bits)
     repeated = flagged.where("maybe")
     groups = settle(repeated.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     passed = flagged.where("NOT maybe").select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "maybe")
