@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import EDGE_SPACE, let
+from hirelens.llm.common import EDGE_SPACE, let, settle
 
 SYMBOLS = "#*$%&|<>"  # fixed value of the contract
 WINDOW = 8
@@ -77,6 +77,27 @@ def verdict(book: DataFrame, policy: str = "v2") -> DataFrame:
     return book.withColumns({"base_failed": base, "kept": kept})
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger of `docs`, written to the shared folder and read back: rules run once, all policies and counts read what they left."""
+    return settle(ledger(docs))
+
+
+def with_policies(book: DataFrame, policy: str = "v2") -> DataFrame:
+    """The ledger with the verdict of `policy`, one column `kept_<version>` per policy, and what the policy's ablation says of the row.
+
+    `sole_rule` names the only rule of the policy that the document fails ('' where it fails none or several): without that rule it
+    would be kept. `sole_rule_docs` is how many documents of the ledger the policy would win back so (0 where there is no such rule).
+    The counts come from distinct masks, at most 2 ** rules rows, and meet the ledger by its mask.
+    """
+    hit = F.col("failed_mask").bitwiseAND(F.lit(POLICIES[policy]))
+    rules = [r for r in RULES if POLICIES[policy] & BIT[r]]
+    sole = F.coalesce(*[F.when(hit == BIT[r], F.lit(r)) for r in rules], F.lit(""))
+    won = settle(ablations(book).where(F.col("policy") == policy).select(F.col("rule").alias("sole_rule"), F.col("n_only").alias("sole_rule_docs")))
+    versions = {f"kept_{v}": F.col("failed_mask").bitwiseAND(F.lit(m | BASE)) == 0 for v, m in POLICIES.items()}
+    met = verdict(book, policy).withColumns({**versions, "sole_rule": sole}).join(won, "sole_rule", "left")
+    return met.withColumn("sole_rule_docs", F.coalesce("sole_rule_docs", F.lit(0).cast("long")))
+
+
 def ablations(book: DataFrame) -> DataFrame:
     """(policy, rule, n_failed, n_only): documents a rule of the policy fails, and those only it fails (kept without it).
 

@@ -58,11 +58,15 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(regexp_replace(text, '[\x
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
 f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
   + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 4 ELSE 0 END
-  + CASE WHEN 10 * n_symbols > 3 * n_words THEN 8 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END)::INTEGER AS failed_mask FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_mask, (failed_mask & 3) <> 0 AS base_failed, (failed_mask & 15) = 0 AS kept FROM f""")
+  + CASE WHEN 10 * n_symbols > 3 * n_words THEN 8 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END)::INTEGER AS failed_mask FROM m),
+s AS (SELECT *, CASE failed_mask & 15 WHEN 1 THEN 'too_few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'word_length' WHEN 8 THEN 'symbols' ELSE '' END AS sole_rule FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_mask, (failed_mask & 3) <> 0 AS base_failed, (failed_mask & 15) = 0 AS kept,
+  (failed_mask & 3) = 0 AS kept_v1, (failed_mask & 15) = 0 AS kept_v2, failed_mask = 0 AS kept_v3, sole_rule,
+  CASE WHEN sole_rule = '' THEN 0 ELSE count(*) OVER (PARTITION BY sole_rule) END AS sole_rule_docs FROM s""")
 def op5_quality_rules(spark, sf_dir):
-    book = quality_rules.verdict(quality_rules.ledger(table(spark, sf_dir, "documents")))
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed_mask", "base_failed", "kept")
+    book = quality_rules.with_policies(quality_rules.stored(table(spark, sf_dir, "documents")))
+    measured = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return book.select("doc_id", *measured, "failed_mask", "base_failed", "kept", "kept_v1", "kept_v2", "kept_v3", "sole_rule", "sole_rule_docs")
 
 
 @query()
