@@ -1,20 +1,21 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a table of (h1, h2, n_docs, last_doc), one row per line key, sorted by hash. Each batch of documents is one new run of
-level 0; `fanout` runs of a level are compacted into one of the next, so a key is rewritten once per level. `LineRuns.add`
-offers the anti-join of a batch with the runs before it, for callers that take in batches over time; the query does not use it: its
-batches are all there at once, their runs are compacted into one table, and one anti-join of all lines with it follows.
+A run is a table of (h1, h2, n_docs, last_doc), one row per line key, in buckets of the hash and sorted there. Each batch of documents
+is reduced to its keys, which merge-anti-join the runs so far: keys that no run holds become a new run of level 0, the others an update
+of a known key's count. So a key lies in one run only; `fanout` runs of a level are compacted into one of the next, which rewrites a key
+once per level. Runs meet a batch bucket by bucket, without another shuffle. At the end all lines anti-join the keys held often enough.
 Everything is DataFrame functions.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import EDGE_SPACE, ascii_lower, documents, let, settle, shared_folder
+from hirelens.llm.common import EDGE_SPACE, ascii_lower, documents, let, partitions, settle, shared_folder
 
 HASH = ["h1", "h2"]
 
@@ -42,45 +43,58 @@ def long_lines(docs: DataFrame, min_chars: int = 40) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled sorted runs in a folder of the shared store; `runs` lists (level, path)."""
-
-    def __init__(self, spark: SparkSession, fanout: int = 4) -> None:
-        self.spark, self.fanout, self.runs = spark, fanout, []
-
-    def _write(self, keys: DataFrame, level: int) -> None:
-        path = shared_folder(self.spark)
-        keys.sortWithinPartitions(*HASH).write.parquet(path)  # as the aggregation dealt them: by hash
-        self.runs.append((level, path))
-        same = [p for at, p in self.runs if at == level]
-        if len(same) >= self.fanout:
-            self.runs = [(at, p) for at, p in self.runs if at != level]
-            self._write(self._merged(same), level + 1)
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        rows = reduce(DataFrame.unionAll, [self.spark.read.parquet(p) for p in paths])
+    """Levelled sorted runs in the shared store: `runs` lists (level, table), `updates` the tables of counts for keys already held."""
+
+    def __init__(self, spark: SparkSession, fanout: int = 2) -> None:
+        self.spark, self.fanout, self.runs, self.updates, self.paths = spark, fanout, [], [], {}
+
+    def _write(self, keys: DataFrame) -> str:
+        """A table in buckets of the hash; its files lie in the shared folder and outlive its name."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = shared_folder(self.spark)
+        keys.write.bucketBy(partitions(self.spark), *HASH).sortBy(*HASH).option("path", self.paths[name]).saveAsTable(name)
+        return name
+
+    def _push(self, run: str, level: int) -> None:
+        self.runs.append((level, run))
+        same = [r for at, r in self.runs if at == level]
+        if len(same) >= self.fanout:  # no key is in two runs, so merging them is laying them together
+            merged = self._write(self._union(same).repartition(partitions(self.spark), *HASH))
+            self.runs = [(at, r) for at, r in self.runs if at != level]
+            self._push(merged, level + 1)
+
+    def _union(self, names: list[str]) -> DataFrame:
+        # read as plain files: a union of bucketed tables reports their partitioning, which Spark 4.1 then groups by wrongly
+        return reduce(DataFrame.unionAll, [self.spark.read.parquet(self.paths[n]) for n in names])
+
+    def table(self) -> DataFrame:
+        """All runs with their updates as one, a row for each key."""
+        rows = self._union([r for _, r in self.runs] + self.updates)
         return rows.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
-    def table(self) -> DataFrame | None:
-        """All runs as one, a row for each key."""
-        return self._merged([p for _, p in self.runs]) if self.runs else None
-
     def add(self, lines: DataFrame) -> DataFrame:
-        """Add a batch (doc_id, h1, h2) as a run; the batch's lines that no earlier run holds. A document must not come twice."""
-        earlier = list(self.runs)
+        """Take in a batch (doc_id, h1, h2); its keys that no run held before, as (h1, h2, n_docs, last_doc). A document must not come twice."""
         each = lines.select("doc_id", *HASH).distinct()  # dealt by all three, so a line in every document spreads
-        self._write(each.groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), 0)
-        fresh = lines
-        for _, path in earlier:
-            fresh = fresh.join(self.spark.read.parquet(path).select(*HASH), HASH, "left_anti")
-        return fresh
+        keys = each.groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        if not self.runs:
+            fresh = self._write(keys)
+        else:
+            batch = self._write(keys)
+            unseen = self.spark.table(batch)
+            for _, run in self.runs:
+                unseen = unseen.join(self.spark.table(run).select(*HASH), HASH, "left_anti")
+            fresh = self._write(unseen)
+            self.updates.append(self._write(self.spark.table(batch).join(self.spark.table(fresh).select(*HASH), HASH, "left_anti")))
+        self._push(fresh, 0)
+        return self.spark.table(fresh)
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text): one row per row of `docs`; the columns in `carry` come along as struct `carried`.
 
     Keys of at least `min_chars` code points found in at least `min_docs` documents lose all their lines except in the largest
-    doc_id that holds them. The documents go into the runs in `batches` batches by a hash of doc_id; then all lines merge-anti-join
-    the compacted runs. NULL or empty text is one empty line. A document is a doc_id: rows that repeat one count once, and keep
+    doc_id that holds them. The documents come in `batches` batches by a hash of doc_id, each of which merge-anti-joins the runs before
+    it; then all lines anti-join the keys to be dropped. NULL or empty text is one empty line. A document is a doc_id: rows that repeat one count once, and keep
     the line together. NULL doc_ids count as one document, smaller than any other. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -88,7 +102,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
     lines = long_lines(docs, min_chars)
     lines.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).write.parquet(path)
     lines = spark.read.schema("doc_id long, row struct<id: long, text_hash: long>, pos int, h1 long, h2 long, batch int").parquet(path)
-    runs = LineRuns(spark, fanout=batches)
+    runs = LineRuns(spark)
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b))
     doomed = settle(runs.table().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"))
