@@ -1,12 +1,15 @@
 """Main text of web pages by site template removal.
 
 Pass 1 parses each page, hashes the subtrees of its elements (tag, class, text and children) and counts them per host in Spark: a
-subtree found on many pages of a host is part of the site's template. Pass 2 parses again, deletes those subtrees and the
-elements that are never article text, and joins what is left of the article.
+subtree found beside many different bodies of a host is part of the site's template. A page's body is told by its three longest blocks, so
+copies of an article count once and do not make their own text a template. Pass 2 parses again, deletes those subtrees and the elements
+that are never article text, and joins what is left: of the article or main elements where they hold a third of it or more, else of
+the page.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from html.parser import HTMLParser
 
@@ -29,12 +32,24 @@ CHROME = frozenset(
     "ad ads advert advertisement adverts advertising sponsored sponsor promo promotion banner cookie cookies consent notice notices alert sidebar "
     "menu menus navbar navigation nav breadcrumb breadcrumbs footer masthead comment comments discussion respond replies disqus newsletter "
     "subscribe subscription share sharing social related recommended popup modal overlay widget widgets pagination pager toolbar login signup".split())
+ARTICLE_CHROME = frozenset("ad comment related sponsored teaser teasers".split())
 # Start tags that end an open element of the same kind.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 CLOSES_P = BLOCK - {"br", "html", "head", "body", "title", "option", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
+MODIFIERS = frozenset("no not has with without is".split())  # "no-sidebar" tells of a page without one
 _WORDS = re.compile(r"[a-z0-9]+")
-SHARE, LEAST = 0.3, 5  # a template subtree is on this share of a host's pages, and on so many at least
+SHARE, LEAST = 0.3, 5  # a template subtree is beside this share of a host's bodies, and beside so many at least
+MAIN_SHARE = 3  # articles and main elements with less than one part in three of the text left are teasers
+
+
+def told_by_class(tag: str, names: str) -> bool:
+    """Whether the words of an element's class and id tell of something around an article."""
+    if tag in ("html", "body", "main"):
+        return False
+    parts = [_WORDS.findall(n) for n in names.split()]
+    words = {w for p in parts if p and p[0] not in MODIFIERS for w in p}
+    return not words.isdisjoint(ARTICLE_CHROME if tag == "article" else CHROME)
 
 
 class Node:
@@ -46,8 +61,7 @@ class Node:
         self.tag, self.label, self.children, self.hash = tag, f"{tag}.{given.get('class', '')}", [], 0
         self.chrome = (
             tag in NEVER or given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden") == "true"
-            or bool(names.strip()) and tag not in ("html", "body", "article", "main") and not CHROME.isdisjoint(_WORDS.findall(names))
-            or tag == "article" and not {"comment", "ad", "sponsored", "related"}.isdisjoint(_WORDS.findall(names)))
+            or bool(names.strip()) and told_by_class(tag, names))
 
 
 class Tree(HTMLParser):
@@ -123,19 +137,19 @@ def hash_subtrees(root: Node) -> None:
 
 
 def _mains(root: Node) -> list[Node]:
-    """The outermost articles that lie in no chrome; else the main element; else the whole page."""
-    found: dict = {"article": [], "main": []}
-    todo = [root]
+    """The outermost articles that lie in no chrome; else the outermost main elements."""
+    articles, mains, todo = [], [], [(root, False)]
     while todo:
-        node = todo.pop()
+        node, in_main = todo.pop()
         if node.chrome:
             continue
-        if node.tag in found:
-            found[node.tag].append(node)
-            if node.tag == "article":
-                continue
-        todo.extend(reversed([c for c in node.children if isinstance(c, Node)]))
-    return found["article"] or found["main"][:1] or [root]
+        if node.tag == "article":
+            articles.append(node)
+            continue
+        if node.tag == "main" and not in_main:
+            mains.append(node)
+        todo.extend((c, in_main or node.tag == "main") for c in reversed(node.children) if isinstance(c, Node))
+    return articles or mains
 
 
 def _signed(h: int) -> int:
@@ -143,8 +157,8 @@ def _signed(h: int) -> int:
 
 
 def template_candidates(root: Node) -> set[int]:
-    """Hashes of the subtrees that may be template. The prose of an article is not: copies of an article would delete each other."""
-    out, mains = set(), {id(m) for m in _mains(root) if m.tag}
+    """Hashes of the subtrees that may be template: elements around the text, and blocks of it that no article or main element holds."""
+    out, mains = set(), {id(m) for m in _mains(root)}
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
@@ -155,39 +169,62 @@ def template_candidates(root: Node) -> set[int]:
     return out
 
 
-def main_text(root: Node, template: set[int]) -> str:
-    """The text of the main parts without chrome and template subtrees, in page order."""
+def body(root: Node) -> int:
+    """Hash of the three elements outside chrome with the most text of their own (three, as one or two may be template); 0 without text."""
+    found, todo = set(), [root]
+    while todo:
+        node = todo.pop()
+        if node.chrome:
+            continue
+        if size := sum(len(c) for c in node.children if isinstance(c, str) and not c.isspace()):
+            found.add((size, node.hash))
+        todo.extend(c for c in node.children if isinstance(c, Node))
+    most = "\x1f".join(str(h) for _, h in heapq.nlargest(3, found))
+    return _signed(xxhash.xxh64_intdigest(most)) if most else 0
+
+
+def _left(starts: list[Node], mains: list[Node], template: set[int]) -> str:
+    """The text of `starts` without chrome and template subtrees, in page order. Inside `mains`, prose is no template."""
     parts: list[str] = []
-    mains = _mains(root)
-    inside = bool(mains[0].tag)
-    todo: list = list(reversed(mains))
+    held = {id(m) for m in mains}
+    todo: list = [(x, False) for x in reversed(starts)]
     while todo:
-        x = todo.pop()
+        x, inside = todo.pop()
         if isinstance(x, str):
             parts.append(x)
             continue
-        main = x in mains
+        main = id(x) in held
+        inside = inside or main
         if x.chrome or x.tag == "header" and not inside or x.tag == "title":
             continue
         if x.hash and _signed(x.hash) in template and not main and not (inside and x.tag in PROSE):
             continue
         if x.tag in BLOCK:
             parts.append(" ")
-            todo.append(" ")
-        todo.extend(reversed(x.children))
+            todo.append((" ", inside))
+        todo.extend((c, inside) for c in reversed(x.children))
     return " ".join("".join(parts).split())
 
 
+def main_text(root: Node, template: set[int]) -> str:
+    """The text left of the article or main elements where it is a third of what is left of the page or more; else all that is left."""
+    mains = _mains(root)
+    whole = _left([root], mains, template)
+    part = _left(mains, mains, template)
+    return part if mains and MAIN_SHARE * len(part) >= len(whole) else whole
+
+
 def _count(batches):
     for batch in batches:
-        hosts, hashes = [], []
+        hosts, hashes, bodies = [], [], []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             root = parse(html)
             hash_subtrees(root)
-            own = template_candidates(root)
+            own = [None, *template_candidates(root)]
             hashes.extend(own)
             hosts.extend([host] * len(own))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "subtree"])
+            bodies.extend([body(root)] * len(own))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(bodies, pa.int64())], names=["host", "subtree", "body"])
 
 
 def _extract(batches):
@@ -207,15 +244,16 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(host, template): hashes of subtrees on at least `share` of a host's pages, and `least` pages.
+    """(host, template): hashes of subtrees beside at least `share` of a host's different bodies, and `least` of them.
 
-    A host's list is bounded by the mean number of subtrees of its pages over `share`, however many pages it has. Each page
-    counts a subtree once; counts are combined before the shuffle, so a host with a third of all pages is no hot key.
+    A host's list is bounded by the mean number of subtrees of its bodies over `share`, however many pages it has. A subtree
+    counts once a body; rows are dealt by host, subtree and body first and combined before the second shuffle, so a host with a
+    third of all pages is no hot key. The row without subtree counts the host's bodies.
     """
-    own = _pages(pages)
-    sizes = own.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = own.select("host", "html").mapInArrow(_count, "host string, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    many = counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
+    found = _pages(pages).select("host", "html").mapInArrow(_count, "host string, subtree long, body long").distinct()
+    counts = settle(found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("n") >= least) | F.col("subtree").isNull()))
+    sizes = counts.where("subtree IS NULL").select("host", F.col("n").alias("bodies"))
+    many = counts.where("subtree IS NOT NULL").join(sizes, "host").where(F.col("n") >= share * F.col("bodies"))
     return many.groupBy("host").agg(F.collect_list("subtree").alias("template"))
 
 
