@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from hirelens.llm import html_extract, lm_score, packing, quality_classifier, quality_rules, sentencepiece_trie, simhash, substring_dedup
+from hirelens.llm import exact_dedup, html_extract, line_dedup, lm_score, packing, quality_classifier, quality_rules, sentencepiece_trie, simhash, substring_dedup
 from hirelens.llm.graph import components
 from hirelens.llm.queries import QUERIES, SQL
 from tools.check import rows_of
@@ -350,6 +350,88 @@ def test_site_template(spark):
     assert all(got[100 + n] == "Same story." for n in range(12))
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+STORY = " ".join(f"Sentence {i} of the story goes on." for i in range(12))
+
+
+@pytest.mark.parametrize("page,want", [
+    (f'<body><article class="teaser"><p>Read this too</p></article><div><p>{STORY}</p></div></body>', STORY),
+    (f"<body><article><p>Read this too</p></article><div><p>{STORY}</p></div></body>", f"Read this too {STORY}"),
+    (f'<body><div class="site no-sidebar"><p>{STORY}</p></div></body>', STORY),
+    (f'<body><article><p>{STORY}</p><p class="has-related-links">One more.</p></article></body>', f"{STORY} One more."),
+    (f"<body><main><p>{STORY}</p></main><main><p>Second part.</p></main></body>", f"{STORY} Second part."),
+    (f'<body><article><p>{STORY}</p></article><section class="comments"><article><p>{STORY} {STORY}</p></article></section></body>', STORY),
+    (f'<body><div class="sidebar"><p>{STORY}</p></div><article><p>Short.</p></article></body>', "Short."),
+])
+def test_no_article_text_is_lost(spark, page, want):
+    assert extracted(spark, [(1, "http://one.example/", page)]) == {1: want}
+
+
+def test_copies_without_article_survive(spark):
+    """Six copies of one body among twelve pages of a host: the counted header and links go, the copies stay."""
+    links = "<div><ul><li>Start</li><li>Contact us today</li></ul></div>"
+    page = lambda n: f"<body><div><b>Acme portal</b></div>{links}<div><p>{'Copied story, first part.' if n < 6 else f'Story {n}, first part here.'}</p><p>{'Copied story, second part.' if n < 6 else f'Story {n}, second part here.'}</p><p>Last words of {'all' if n < 6 else n}, thank you.</p></div></body>"
+    got = extracted(spark, [(n, f"http://acme.example/{n}", page(n)) for n in range(12)])
+    assert all(got[n] == "Copied story, first part. Copied story, second part. Last words of all, thank you." for n in range(6))
+    assert all(got[n] == f"Story {n}, first part here. Story {n}, second part here. Last words of {n}, thank you." for n in range(6, 12))
+
+
+def test_template_longer_than_the_text(spark):
+    """A notice longer than every article is still counted beside many bodies."""
+    page = lambda n: f"<body><div><p>{STORY}</p></div><div><p>Story {n}.</p></div></body>"
+    got = extracted(spark, [(n, f"http://acme.example/{n}", page(n)) for n in range(12)])
+    assert got == {n: f"Story {n}." for n in range(12)}
+
+
+def test_filter_in_segments(spark):
+    """Each segment has its filter; together they say the same as one, and let no repeated text pass."""
+    rows = [(i, f"text {i if i % 7 else i // 70}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bits = exact_dedup.BITS_PER_ROW
+    assert exact_dedup.filter_shape(0, 1 << 28) == (1, 1 << exact_dedup.SHARD)
+    for n in (10**6, 10**9, 10**11):
+        segments, size = exact_dedup.filter_shape(n, 1 << 28)
+        assert size <= 1 << 28 and segments * size >= bits * n
+    got = [{(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, max_bits=m).collect()} for m in (1 << 28, 2000)]
+    assert exact_dedup.filter_shape(400, 2000)[0] > 3 and got[0] == got[1]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    assert got[0] == {(i, max(groups[t]), len(groups[t]), i == max(groups[t])) for i, t in rows}
+    assert exact_dedup.exact_dedup(docs, max_bits=2000).where("shuffled AND group_size = 1").count() < 10
+
+
+def test_runs_against_plain_counts(spark):
+    """Each batch's anti-join gives the keys never met before; a key is in one run; counts and last documents are whole."""
+    lines = [(d, h, h * 3) for d in range(60) for h in {d % 7, d % 11, 100 + d // 9, 1000 + d}]
+    frame = spark.createDataFrame(lines, "doc_id long, h1 long, h2 long")
+    runs, met = line_dedup.LineRuns(spark), set()
+    for b in range(5):
+        own = {h for d, h, _ in lines if d % 5 == b}
+        fresh = {r.h1 for r in runs.add(frame.where(f"doc_id % 5 = {b}")).collect()}
+        assert fresh == own - met
+        met |= own
+        held = [r.h1 for _, name in runs.runs for r in spark.table(name).collect()]
+        assert sorted(held) == sorted(met)
+    assert sorted(level for level, _ in runs.runs) == [0, 2]
+    want = {}
+    for d, h, _ in lines:
+        n, last = want.get(h, (0, -1))
+        want[h] = n + 1, max(last, d)
+    assert {r.h1: (r.n_docs, r.last_doc) for r in runs.table().collect()} == want
+
+
+def test_ledger_is_stored(spark):
+    docs = spark.createDataFrame([(1, "a " * 50), (2, "short"), (3, "tiny"), (4, " ".join(f"word{i}" for i in range(40)))], "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality_rules.with_policies(quality_rules.stored(docs)).collect()}
+    assert [rows[i].sole_rule for i in range(1, 5)] == ["", "too_few_words", "too_few_words", ""]
+    assert [rows[i].sole_rule_docs for i in range(1, 5)] == [0, 2, 2, 0]
+    assert [rows[i].kept_v1 for i in range(1, 5)] == [rows[i].kept for i in range(1, 5)] == [False, False, False, True]
+
+
 def test_ablations(spark):
     docs = spark.createDataFrame([(1, "a " * 50), (2, "short"), (3, " ".join(f"w{i}" for i in range(40))), (4, " ".join(f"#{i}" for i in range(40)))], "doc_id long, text string")
     book = quality_rules.ledger(docs)
