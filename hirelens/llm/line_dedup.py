@@ -64,8 +64,8 @@ class LineRuns:
             self._push(merged, level + 1)
 
     def _union(self, names: list[str]) -> DataFrame:
-        # read as plain files: a union of bucketed tables reports their partitioning, which Spark 4.1 then groups by wrongly
-        return reduce(DataFrame.unionAll, [self.spark.read.parquet(self.paths[n]) for n in names])
+        # read as plain files, with the schema as a run may be empty: a union of bucketed tables reports their partitioning, which Spark 4.1 then groups by wrongly
+        return reduce(DataFrame.unionAll, [self.spark.read.schema(self.spark.table(n).schema).parquet(self.paths[n]) for n in names])
 
     def table(self) -> DataFrame:
         """All runs with their updates as one, a row for each key."""
