@@ -131,16 +131,20 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def training(measured: DataFrame, labels: DataFrame) -> DataFrame:
-    """(x, label): the labelled documents of the training folds (crc32 mod 4 is not 2). Statistics meet the labels, not texts."""
+    """(x, label): the labelled documents of the training folds (crc32 mod 4 is not 2). Statistics meet the labels, not texts.
+
+    A document that is labelled several times counts once; one with both labels is not learnt from.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(F.col("label").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
-    return measured.join(known, "doc_id").select("x", "label")
+    agreed = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
+    return measured.join(agreed.drop("other"), "doc_id").select("x", "label")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted): one row per row of `docs`.
 
-    Fitted on the training folds only, and on the text only. NULL text counts as empty; a NULL label is no label; repeated
-    rows are scored each; with no labelled row at all every score is 0.5. An empty table gives no rows.
+    Fitted on the training folds only, and on the text only. NULL text counts as empty; a NULL label is no label, repeated labels
+    are one and conflicting ones none; repeated rows are scored each; with no labelled row at all every score is 0.5. An empty table gives no rows.
     """
     measured = settle(features(docs))  # read to fit and to score: each text is measured once
     scored = score(measured, fit(training(measured, labels)))
