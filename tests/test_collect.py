@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from hirelens.operators import collect as C
 from hirelens.operators.prefix import hot_key_join
+from hirelens.plans.collection import told
 
 
 def test_first_seen_with_a_hot_key(spark):
@@ -71,3 +72,28 @@ def test_hot_key_join(spark):
         got = hot_key_join(big, small, "k", hot, "id", 8, how).select("id", "k", "v").where("v is not null")
         assert sorted(tuple(r) for r in got.collect()) == plain
     assert hot_key_join(big, small, "k", hot, "id", 8, "left").count() == 600
+
+
+def test_texts_of_details_move_once_by_their_key(spark):
+    postings = spark.createDataFrame([("a", "old"), ("b", "kept"), (None, "no id")], "job_id string, description string")
+    details = spark.createDataFrame(
+        [("a", 1, "first"), ("a", 4, "last"), ("a", 5, None), ("b", None, "unordered"), (None, 1, "no id either")], "job_id string, fetched_seq int, description string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = C.merge_details(postings, C.latest_details(details))
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        rows = {(r["job_id"], r["description"]) for r in merged.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == {("a", "last"), ("b", "kept"), (None, "no id")}
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 3 and not any("fetched_seq" in line for line in moved)  # postings, fetches, last fetch of each
+
+
+def test_details_merge_by_what_is_shown_of_them(spark):
+    shown = lambda c: told(F.col(c)).alias(c)
+    postings = spark.createDataFrame([(1, "old"), (2, None), (3, "")], "job_id long, description string")
+    details = spark.createDataFrame([(1, 1, "new"), (1, 2, None), (2, 1, None)], "job_id long, fetched_seq int, description string")
+    merged = C.merge_details(postings.select("job_id", shown("description")), C.latest_details(details.select("job_id", "fetched_seq", shown("description"))))
+    assert {r["job_id"]: r["n_chars"] for r in merged.select("job_id", "description.n_chars").collect()} == {1: 3, 2: None, 3: 0}
