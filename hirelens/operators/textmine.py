@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from hirelens.functions.text import word_tokens
-from hirelens.operators.prefix import hot_key_join
+from hirelens.operators.prefix import hot_key_join, same_keys
 from hirelens.operators.terms import TermSet, find_terms
 from hirelens.session import settle
 
+COUNTED_ROWS = 256  # texts that are counted together in a task
+
 
 def tokenise(df: DataFrame, doc: str, col: str, words: list[str] | DataFrame | TermSet | None = None, place: bool = False) -> DataFrame:
     """(doc, term) rows, one per occurrence.
@@ -20,7 +28,8 @@ def tokenise(df: DataFrame, doc: str, col: str, words: list[str] | DataFrame | T
 
     With `place` the texts are first spread by document id. Counting terms per document then needs
     no further shuffle, and the texts are several times smaller than the (doc, term) rows that
-    would move instead. Leave it off where terms are only counted over all documents.
+    would move instead. Leave it off where terms are only counted over all documents; `term_lists`
+    counts them per document without a shuffle.
     """
     if place:
         df = df.select(doc, col).repartition(doc)
@@ -29,14 +38,27 @@ def tokenise(df: DataFrame, doc: str, col: str, words: list[str] | DataFrame | T
     return find_terms(df, doc, col, words if isinstance(words, TermSet) else TermSet(df.sparkSession, words))
 
 
+def term_lists(df: DataFrame, doc: str, col: str) -> DataFrame:
+    """(doc, tokens, whole): the terms of each text as an array, to be counted by `term_counts` or `slot_counts`.
+
+    `whole`: no other row has this id, so the terms of the document can be counted where its row is.
+    """
+    rows = df.select(doc, col)
+    again = settle(rows.groupBy(doc).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(doc))
+    part = lambda how, whole: same_keys(rows, again, [doc], how).select(doc, word_tokens(F.col(col)).alias("tokens"), F.lit(whole).alias("whole"))
+    return part("left_anti", True).unionByName(part("left_semi", False))
+
+
 def drop_stopwords(tokens: DataFrame, stop: DataFrame) -> DataFrame:
     """Remove the terms listed in `stop` (term)."""
-    return tokens.join(stop.select("term"), "term", "left_anti").select(*tokens.columns)
+    # settled: a list of usual size is then broadcast, and the tokens are not shuffled
+    return tokens.join(settle(stop.select("term")), "term", "left_anti").select(*tokens.columns)
 
 
 def term_freq(tokens: DataFrame) -> DataFrame:
-    """Occurrences per term."""
-    return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """Occurrences per term; rows that are counted already (tf) add up."""
+    n = F.sum("tf") if "tf" in tokens.columns else F.count(F.lit(1))
+    return tokens.groupBy("term").agg(n.alias("n"))
 
 
 def top_terms(terms: DataFrame, k: int = 15, weight: str = "n") -> DataFrame:
@@ -67,9 +89,49 @@ def contrast_terms(tokens: DataFrame, high: Column) -> DataFrame:
 
 # --- TF-IDF ---------------------------------------------------------------------------------
 
+def _count_rows(width: int | None):
+    """(doc, tokens) -> (doc, term, tf), or with the slots of the terms in their place, a few texts at a time."""
+
+    def slots(terms: pa.Array) -> pa.Array:
+        coded = terms.dictionary_encode()
+        numbers = [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % width for t in coded.dictionary.to_pylist()]
+        return pa.array(numbers, pa.int64()).take(coded.indices)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, COUNTED_ROWS):
+                doc, tokens = batch.slice(start, COUNTED_ROWS).columns
+                terms = pc.list_flatten(tokens)
+                rows = pa.table({"row": pc.list_parent_indices(tokens), "term": terms if width is None else slots(terms)})
+                n = rows.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+                for part in n.to_batches():
+                    yield pa.RecordBatch.from_arrays([doc.take(part["row"]), part["term"], part["count_all"]], names=[batch.schema.names[0], "term", "tf"])
+
+    return run
+
+
+def _counted(tokens: DataFrame, doc: str, width: int | None) -> DataFrame:
+    term = F.col("term") if width is None else hash_slot(F.col("term"), width)
+    if "tokens" not in tokens.columns:
+        return tokens.groupBy(doc, term.alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+    schema = T.StructType([tokens.schema[doc], T.StructField("term", T.StringType() if width is None else T.LongType()), T.StructField("tf", T.LongType())])
+    whole = tokens.where("whole").select(doc, "tokens").mapInArrow(_count_rows(width), schema)
+    parts = tokens.where("NOT whole").select(doc, F.explode("tokens").alias("term"))
+    return whole.unionByName(_counted(parts, doc, width))
+
+
 def term_counts(tokens: DataFrame, doc: str) -> DataFrame:
-    """(doc, term, tf)."""
-    return tokens.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc, term, tf) of (doc, term) rows or of `term_lists`.
+
+    Lists are counted inside their rows: no task holds a table of (doc, term) pairs and no text is shuffled. The rows of an id that comes
+    more than once are one document and are counted by a shuffle.
+    """
+    return _counted(tokens, doc, None)
+
+
+def slot_counts(tokens: DataFrame, doc: str, width: int) -> DataFrame:
+    """`term_counts` with the slots of the terms (`hash_slot`) in their place."""
+    return _counted(tokens, doc, width)
 
 
 def document_frequency(counts: DataFrame, n_docs: Column) -> DataFrame:
@@ -95,7 +157,7 @@ def weigh(counts: DataFrame, freq: DataFrame, hot: DataFrame, doc: str) -> DataF
 
 def tfidf(tokens: DataFrame, doc: str, n_docs: Column) -> DataFrame:
     """(doc, term, w): TF-IDF weights, each document scaled to length 1."""
-    counts = term_counts(tokens, doc)
+    counts = settle(term_counts(tokens, doc))  # texts are cut once
     freq = settle(document_frequency(counts, n_docs))
     return unit_length(weigh(counts, freq, settle(hot_terms(freq, n_docs)), doc), doc)
 
@@ -111,8 +173,7 @@ def hashed_tfidf(tokens: DataFrame, doc: str, n_docs: Column, width: int = 1 <<
     For vocabularies without end (typing errors, numbers, ids): terms of one slot count as one term, so the table of weights has `width`
     rows at most however many terms there are, and the engine can send it to all tasks instead of shuffling the counts by term.
     """
-    slots = tokens.select(doc, hash_slot(F.col("term"), width).alias("term"))
-    counts = settle(term_counts(slots, doc))
+    counts = settle(slot_counts(tokens, doc, width))
     freq = settle(document_frequency(counts, n_docs)).select("term", "idf")
     weights = counts.join(freq, "term").select(doc, "term", (F.col("tf") * F.col("idf")).alias("w"))
     return unit_length(weights, doc).withColumnRenamed("term", "slot")

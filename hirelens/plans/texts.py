@@ -9,10 +9,11 @@ from hirelens.operators.collect import domain_filter
 from hirelens.operators.describe import salary_group
 from hirelens.plans.registry import as_long, query, rounded
 from hirelens.plans.views import (
-    CLEAN_SQL, MODELLED_SQL, SIMILARITY_SQL, TFIDF_SQL, TOKENS_SQL, clean, doc_similarity, doc_tokens, document_count,
+    CLEAN_SQL, MODELLED_SQL, SIMILARITY_SQL, TFIDF_SQL, TOKENS_SQL, clean, doc_similarity, doc_terms, doc_tokens, document_count,
     high_documents, modelled, table, tag_rows_sql, texts, with_tags,
     POSTINGS_SQL, postings,
 )
+from hirelens.session import settle
 
 Y = "salary_month_k"
 
@@ -33,8 +34,8 @@ WHERE d * 2 > (SELECT count(*) FROM documents))
 SELECT term, count(*) AS n FROM tokens WHERE term NOT IN (SELECT term FROM stop) GROUP BY 1""")
 def drop_stopwords(spark, sf_dir):
     """Terms that occur in more than half of all documents are taken as generic."""
-    tokens = doc_tokens(spark, sf_dir, place=True)
-    common = X.document_frequency(X.term_counts(tokens, "doc_id"), document_count(spark, sf_dir)).where(
+    tokens = settle(X.term_counts(doc_terms(spark, sf_dir), "doc_id"))
+    common = X.document_frequency(tokens, document_count(spark, sf_dir)).where(
         F.col("df") * 2 > document_count(spark, sf_dir))
     return X.term_freq(X.drop_stopwords(tokens, common))
 
@@ -63,7 +64,7 @@ def benefit_freq(spark, sf_dir):
 
 @query(f"WITH {TFIDF_SQL} SELECT doc_id, term, round(w, 6) AS w FROM vectors")
 def tfidf_vectors(spark, sf_dir):
-    return rounded(X.tfidf(doc_tokens(spark, sf_dir, place=True), "doc_id", document_count(spark, sf_dir)), "w")
+    return rounded(X.tfidf(doc_terms(spark, sf_dir), "doc_id", document_count(spark, sf_dir)), "w")
 
 
 _WIDTH = 4096
@@ -75,12 +76,12 @@ freq AS (SELECT slot, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0
 SELECT doc_id, slot, round(tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)), 6) AS w FROM counts JOIN freq USING (slot)""")
 def hashed_vectors(spark, sf_dir):
     """TF-IDF over hashed slots instead of a vocabulary."""
-    return rounded(X.hashed_tfidf(doc_tokens(spark, sf_dir, place=True), "doc_id", document_count(spark, sf_dir), _WIDTH), "w")
+    return rounded(X.hashed_tfidf(doc_terms(spark, sf_dir), "doc_id", document_count(spark, sf_dir), _WIDTH), "w")
 
 
 @query(f"WITH {TFIDF_SQL} SELECT term, round(sum(w) / (SELECT count(*) FROM high), 6) AS weight FROM vectors WHERE doc_id IN (SELECT doc_id FROM high) GROUP BY 1")
 def high_template(spark, sf_dir):
-    vectors = X.tfidf(doc_tokens(spark, sf_dir, place=True), "doc_id", document_count(spark, sf_dir))
+    vectors = X.tfidf(doc_terms(spark, sf_dir), "doc_id", document_count(spark, sf_dir))
     return rounded(X.template(vectors, high_documents(spark, sf_dir), "doc_id"), "weight")
 
 

@@ -74,3 +74,20 @@ def test_contrast_and_stopwords(spark):
 def test_grades(spark):
     df = spark.createDataFrame([(v,) for v in (0.0, 0.19, 0.2, 0.99, 1.0)], "s double")
     assert [r[0] for r in df.select(X.similarity_grade(F.col("s"))).collect()] == [1, 1, 2, 5, 5]
+
+
+def test_terms_are_counted_inside_rows_and_over_repeated_ids(spark):
+    rows = [(i, "a b a " * 700 + f"c{i}") for i in range(600)] + [(7, "b b x"), (None, "a n"), (None, "n"), (900, None), (901, ""), (902, "Ärger ärger 中文字")]
+    df = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+    want = X.tokenise(df, "doc", "text")
+    lists = X.term_lists(df, "doc", "text")
+    table = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    counts = X.term_counts(lists, "doc")
+    assert counts.dtypes == X.term_counts(want, "doc").dtypes
+    assert table(counts) == table(want.groupBy("doc", "term").count())
+    slots = want.select("doc", X.hash_slot(F.col("term"), 5).alias("term")).groupBy("doc", "term").count()
+    assert table(X.slot_counts(lists, "doc", 5)) == table(slots)
+    assert table(X.term_freq(counts)) == table(want.groupBy("term").count())
+    # the rows that are alone with their id are counted without a table of (doc, term) and without a shuffle
+    plan = X.term_counts(lists.where("whole"), "doc")._jdf.queryExecution().executedPlan().toString()
+    assert "term" not in "".join(line for line in plan.splitlines() if "HashAggregate" in line)
