@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import documents, settle
+from hirelens.llm.common import documents, settle, small_batches
 
 WINDOW = 4096
 END = 2  # closes each document
@@ -246,7 +246,8 @@ def pack(docs: DataFrame, path: str, shard_docs: int = 1024) -> DataFrame:
     table gives no pieces.
     """
     spark = docs.sparkSession
-    tokens = settle(tokenize(docs, path))
+    with small_batches(spark):  # else a worker holds ten thousand texts at once
+        tokens = settle(tokenize(docs, path))
     known = tokens.select("ids").mapInArrow(_frequency, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row an id of the vocabulary
     n, total = tokens.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
     df = np.zeros(VOCABULARY, np.float64)
