@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from hirelens.constants import EMPTY_TAGS, SENTINELS, SOURCE_MARKS
 
 # A Latin word may carry digits, + and # (python3, c++, c#); a run of Han characters is cut in bigrams.
-LATIN_WORD = "[A-Za-zÀ-ÖØ-öø-ɏ][A-Za-z0-9À-ÖØ-öø-ɏ+#]*"
-WORD_OR_GAP = "[0-9A-Za-zÀ-ÖØ-öø-ɏ+#]+|[^0-9A-Za-zÀ-ÖØ-öø-ɏ+#]+"
+# Java looks characters below U+0100 up in one table where a class names them one by one; every range costs a call of its own for each
+# character of a text, and the calls nest. Hence A-Za-zÀ-ÖØ-öø-ɏ is spelled out up to U+00FF.
+_LETTERS = "".join(c for c in map(chr, range(0x100)) if c.isascii() and c.isalpha() or c >= "À" and c not in "×÷")
+_DIGITS = "0123456789"
+LATIN_WORD = f"[{_LETTERS}Ā-ɏ][{_LETTERS}{_DIGITS}+#Ā-ɏ]*"
+WORD_OR_GAP = f"[{_LETTERS}{_DIGITS}+#Ā-ɏ]+|[^{_LETTERS}{_DIGITS}+#Ā-ɏ]+"
+# what a cleaned text holds: the table first, and only what lies beyond it meets the ranges
+_SYMBOLS = rf"[^[{_LETTERS}{_DIGITS}+#.,;:!?%/\-][Ā-\x{{ffff}}&&[Ā-ɏ\x{{4e00}}-\x{{9fff}}，。；：！？、]]]+"
 HAN_RUN = "[一-鿿]+"
 
 
@@ -77,7 +83,7 @@ def any_term(terms: list[str]) -> str:
 
 def clean_symbols(col: Column) -> Column:
     """Line breaks and symbols to a blank, blanks collapsed, ends trimmed."""
-    return F.trim(F.regexp_replace(col, r"[^0-9A-Za-zÀ-ÖØ-öø-ɏ\x{4e00}-\x{9fff}+#.,;:!?，。；：！？、%/-]+", " "))
+    return F.trim(F.regexp_replace(col, _SYMBOLS, " "))
 
 
 def word_tokens(col: Column) -> Column:
