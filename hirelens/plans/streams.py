@@ -39,7 +39,7 @@ def stream_first_arrival(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts").withColumn("arrived", F.expr(_ARRIVED))
     for run in range(2):
         for part in range(3):
-            events.where(F.col("arrived") == 3 * run + part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+            events.where(F.col("arrived") == 3 * run + part).repartition(1).write.mode("append").option("parquet.block.size", 8 << 20).parquet(f"{base}/in")  # read and filtered by all tasks
         stream = S.stream_table(spark, f"{base}/in", "user_id long, event_id long, ts timestamp_ntz, arrived long", max_files=1)
         first = S.stream_dedup(stream, "user_id", ["ts", "event_id"], buckets=64)
         S.run_available(first, f"{base}/checkpoint", lambda batch, i: batch.write.mode("overwrite").parquet(f"{base}/out/batch={i}")).awaitTermination()
