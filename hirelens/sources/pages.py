@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from hirelens.constants import CARD_COLUMNS, DESCRIPTION_SELECTORS, EMPTY_TAGS, VERIFY_MARKS
 from hirelens.functions.text import first_match, plain_text, strip, tags_or_default
@@ -24,6 +28,26 @@ def extract_article(html: Column, patterns: list[str] | None = None) -> Column:
     return plain_text(first_match(html, patterns or [ARTICLE]))
 
 
+# Text, then a plain tag: quoted attributes without <, > or &. Whatever else a page holds (comments, scripts, loose <) is left to HTMLParser.
+_NAME, _GAP = "[a-zA-Z][a-zA-Z0-9]*", "[ \\t\\n\\r\\f]"
+_ATTRIBUTE = f"{_GAP}+[a-zA-Z][-a-zA-Z0-9_:]*=(?:\"[^\"<>&]*\"|'[^'<>&]*')"
+_MARK = re.compile(f"([^<]*)<(?:/({_NAME})|({_NAME})((?:{_ATTRIBUTE})*){_GAP}*(/?))>")
+_ATTRIBUTES = re.compile(f"{_GAP}+([a-zA-Z][-a-zA-Z0-9_:]*)=(?:\"([^\"<>&]*)\"|'([^'<>&]*)')")
+_RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext"}
+
+
+def _marks(html: str) -> tuple[list[tuple], str] | None:
+    """(text, end tag, start tag, attributes, slash) of each tag of a page of plain tags, and the text after the last; None for other pages."""
+    found, at = [], 0
+    for m in iter(_MARK.scanner(html).match, None):
+        found.append(m.groups())
+        at = m.end()
+    tail = html[at:]
+    if "<" in tail or "&" in tail or any(tag and tag.lower() in _RAW for _, _, tag, _, _ in found):
+        return None
+    return found, tail
+
+
 class _Elements(HTMLParser):
     """Keeps the open elements, (tag, classes) from the outside in; an end tag closes all inside its element."""
 
@@ -33,12 +57,37 @@ class _Elements(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, str]] = []
 
+    def read(self, html: str) -> None:
+        """What `feed` does; pages of plain tags, which most are, are cut by one pattern and cost a fraction of it."""
+        marks = _marks(html)
+        if marks is None:
+            self.feed(html)
+            return
+        known: dict = {"": ()}
+        for text, end, start, attributes, slash in marks[0]:
+            if text:
+                self.handle_data(unescape(text) if "&" in text else text)
+            if end:
+                self.handle_endtag(end.lower())
+                continue
+            if attributes not in known:  # a page says the same thing over and over
+                known[attributes] = [(k.lower(), v or w) for k, v, w in _ATTRIBUTES.findall(attributes)]
+            self.handle_starttag(start.lower(), known[attributes])
+            if slash:
+                self.handle_endtag(start.lower())
+        if marks[1]:
+            self.handle_data(marks[1])
+
     def handle_starttag(self, tag, attrs):
         if tag not in self.VOID:
-            self.open.append((tag, dict(attrs).get("class") or ""))
+            self.open.append((tag, dict(attrs).get("class") or "" if attrs else ""))
             self.opened()
 
     def handle_endtag(self, tag):
+        if self.open and self.open[-1][0] == tag:
+            del self.open[-1]
+            self.closed()
+            return
         names = [t for t, _ in self.open]
         if tag in names:
             del self.open[len(names) - 1 - names[::-1].index(tag):]
@@ -103,7 +152,7 @@ def _steps(selector: str) -> list[tuple[str, bool]]:
 
 def _first_text(html: str | None, selectors: list[list[tuple[str, bool]]]) -> str:
     parser = _Selected(selectors)
-    parser.feed(html or "")
+    parser.read(html or "")
     return next((text for parts in parser.parts if (text := "".join(parts).strip())), "")
 
 
@@ -154,10 +203,12 @@ class _Cards(_Elements):
 
     def opened(self):
         depth, classes = len(self.open), self.open[-1][1].split()
+        if not classes:
+            return
         if self.CARD in classes:
             self.cards.append({"name": None, "company": None, "salary": None, "card_info": [], "tags": None, "company_tags": None})
             self.inside.append(("card", depth))
-        if not any(kind == "card" for kind, _ in self.inside):
+        if not self.inside:  # a card comes first there and goes last
             return
         card = self.cards[-1]
         for cls in classes:
@@ -177,8 +228,9 @@ class _Cards(_Elements):
         return self.taking[-1][0]
 
     def closed(self):
-        self.inside = [x for x in self.inside if x[1] <= len(self.open)]
-        self.taking = [x for x in self.taking if x[1] <= len(self.open)]
+        for held in (self.inside, self.taking):  # depths ascend
+            while held and held[-1][1] > len(self.open):
+                del held[-1]
 
     def handle_data(self, data):
         for parts, _ in self.taking:
@@ -191,7 +243,7 @@ def _text(parts: list[str] | None) -> str | None:
 
 def _cards(html: str | None) -> list[dict]:
     parser = _Cards()
-    parser.feed(html or "")
+    parser.read(html or "")
     many = lambda found: [_text(p) for p in found or []]
     return [
         {k: many(v) if k in ("card_info", "tags", "company_tags") else _text(v) for k, v in card.items()}
@@ -208,13 +260,18 @@ def extract_cards(pages: DataFrame, html: str = "html") -> DataFrame:
     anywhere in the first tag block, whatever their element. Elements nest, so this runs in Arrow batches.
     """
 
-    @F.pandas_udf(CARD_TYPE)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    keep = [c for c in pages.columns if c != html]
+    schema = pages.select(*keep).schema.add("_card", StructType.fromDDL(f"c {CARD_TYPE}")["c"].dataType.elementType)
+    kind = to_arrow_type(schema["_card"].dataType)
+
+    def find(batches):
         for batch in batches:
-            yield batch.map(_cards)
+            found = [_cards(page) for page in batch.column(html).to_pylist()]
+            at = pa.array([i for i, cards in enumerate(found) for _ in cards], pa.int64())
+            kept = [batch.column(c).take(at) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([c for cards in found for c in cards], kind)], names=[*keep, "_card"])
 
-    keep = [c for c in pages.columns if c != html]
-    cards = pages.select(*keep, F.explode(find(F.col(html))).alias("_card"))
+    cards = pages.select(*keep, html).mapInArrow(find, schema)
     fields = split_card_info(cards.select(*keep, "_card", F.col("_card.card_info").alias("card_info")))
     name, company, salary, need, place, tags, firm = CARD_COLUMNS
     return fields.select(
