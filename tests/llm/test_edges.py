@@ -1,5 +1,6 @@
 """Every operator and stage on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import time
 import zlib
 
 import pytest
@@ -197,3 +198,23 @@ def test_stages(spark, docs, labels, tmp_path):
                 assert got.columns == corpus_pipeline.COLUMNS
                 now = spark.createDataFrame(got.collect(), got.schema)
             assert (got.count() > 0) == (start is docs)
+
+
+def test_settled_steps_leave_no_shuffle_files(spark):
+    """Substring dedup runs in this: the files of a step are gone when it is written, without a garbage collection."""
+    from pathlib import Path
+
+    from hirelens.llm.common import settle, shuffles_dropped
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(p) for d in disk.localDirs() for p in Path(str(d.getPath())).rglob("shuffle_*.data")}
+    step = lambda: settle(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count())
+    before = files()
+    step()
+    assert files() - before
+    between = files()
+    with shuffles_dropped(spark):
+        assert step().count() == 1000
+        time.sleep(1)
+        assert not files() - between
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
