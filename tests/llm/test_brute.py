@@ -124,6 +124,58 @@ def test_first_holder_without_the_passage(spark):
     assert all(got[100 + 2 * k].class_id == got[101 + 2 * k].class_id == 100 + 2 * k for k in range(40))
 
 
+def test_near_passages_that_the_first_holder_lacks(spark):
+    """Near, not exact, links beside the first holder of all signatures: of two that it left over, and of one that it left over with one it is linked to."""
+    rng = np.random.default_rng(14)
+    words = lambda n: ["n%d" % x for x in rng.integers(0, 10**9, n)]
+    rows = []
+
+    def text(passage, *edits):
+        own = list(passage)
+        for at in edits:
+            own[at] = words(1)[0]
+        return " ".join(words(30) + own + words(30))
+
+    for k in range(40):
+        passage = words(50)
+        # three parts, each too short, hold nearly all pairs of its shingles
+        rows += [(k, text(passage[:41])), (100 + k, text(passage[5:45])), (200 + k, text(passage[9:])), (300 + k, text(passage)), (400 + k, text(passage, 25))]
+        passage = words(50)
+        rows += [(1000 + k, text(passage, 12)), (1100 + k, text(passage)), (1200 + k, text(passage, 37))]
+    got = {r.doc_id: r for r in substring_dedup.substring_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 * i + k].n_links == 0 for k in range(40) for i in (0, 1, 2))
+    assert sum(got[300 + k].class_id == got[400 + k].class_id == 300 + k for k in range(40)) >= 39
+    assert sum(got[1100 + k].class_id == got[1200 + k].class_id == 1000 + k for k in range(40)) >= 39
+
+
+@pytest.mark.parametrize("cell", [substring_dedup.CELL, 8])
+def test_crowded_signature(spark, monkeypatch, cell):
+    """A phrase in very many texts, part of a passage in a few of them: cells of any size give the same links."""
+    monkeypatch.setattr(substring_dedup, "CELL", cell)
+    rng = np.random.default_rng(15)
+    words = lambda n: ["q%d" % x for x in rng.integers(0, 10**9, n)]
+    phrase, rest = words(36), [words(14) for _ in range(6)]
+    rows = [(i, " ".join(words(40) + phrase + (rest[i % 10] if 20 <= i and i % 10 < 6 else words(14)) + words(40))) for i in range(80)]
+    got = {r.doc_id: r for r in substring_dedup.substring_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].class_id == (20 + i % 10 if 20 <= i and i % 10 < 6 else i) for i in range(80))
+
+
+def test_meetings():
+    """Against counting the common tokens of all pairs: equal slices are one, and every class of them that is near another meets it."""
+    rng = np.random.default_rng(16)
+    base = rng.integers(0, 1 << 32, 91, np.uint32)
+    held: dict = {}
+    for doc in range(60):
+        x = base.copy()
+        x[rng.choice(91, rng.integers(0, 3) * 30, replace=False)] = doc % 7
+        held.setdefault(x.tobytes(), []).append((doc, doc + 5))
+    asking = {t: p for t, p in held.items() if p[0][0] % 3 == 0}
+    got = union_find(range(60), [(a, b) for a, c, b, d in substring_dedup.meetings(asking, held) if (c, d) == (a + 5, b + 5)])
+    cut = {t: np.frombuffer(t, "<u4") for t in held}
+    near = [(p[0], q[0]) for t, ps in asking.items() for u, qs in held.items() if np.isin(cut[t], cut[u]).sum() >= substring_dedup.LEAST for p in ps for q in qs]
+    assert got == union_find(range(60), near)
+
+
 def test_first_holder_with_a_part_before_the_passage(spark):
     """The smaller document has a part of the passage first and all of it later; a single other one has all of it."""
     rng = np.random.default_rng(13)
