@@ -1,13 +1,14 @@
 """Language-model scores by a hierarchical Pitman-Yor model of word pairs.
 
 Each context (the previous word) is a restaurant whose dishes come from one parent restaurant they share, and the parent's from
-a uniform base. Contexts with at least `OPEN` of the training tokens are open; after any other word the parent speaks. There are at most
-1 / OPEN open contexts, so their totals are a table of fixed size that tasks may be sent, whatever the corpus.
+a uniform base. Every word of the training rows is a context. Those with at least `OPEN` of the training tokens, at most 1 / OPEN of them,
+have their totals in a table of fixed size that tasks are sent, whatever the corpus; the totals of all others travel between tasks.
 
 The work is dealt by the following word. Tasks turn blocks of documents into (shard of words) rows: words, contexts, training
 counts, and the documents each pair occurs in. A shard merges the counts of its words from all blocks, seats customers by
 Gibbs sampling, given the totals of the restaurants, and adds its words' log probabilities up per document. Only those sums
-travel back. Samples are drawn twice with the same seeds: first to learn the totals of each sample, then to score with
+travel back. What a shard adds to its rarer contexts goes, packed, to shards of contexts, and each sum goes back to the shards that asked
+for it. Samples are drawn twice with the same seeds: first to learn the totals of each sample, then to score with
 them, so the predictive of every sample sums to one.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +24,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import documents, partitions, settle, shared_folder
+from hirelens.llm.common import documents, partitions, settle, shared_folder, shuffles_dropped, small_batches
 from hirelens.llm.quality_classifier import fold
 
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds white space
 OPEN = 2.0**-14
-CLOSED = 0xFFFF  # in place of a context: the parent speaks
+CLOSED = 0xFFFF  # in place of a frequent context: the hash of a rarer one is beside it; where there is none, the parent speaks
+RARE = 1 << 16  # contexts of a shard from here on are its rarer ones, in order of their hashes
+SHARDS = 4  # in a partition, one after the other, so that a task holds a part of it only
+ROUNDS = 4  # in which the shards are shuffled, so that the disk holds a part of them twice only
 BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 60_000
 DISCOUNT, STRENGTH = 0.75, 1.0  # of a context's restaurant
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 1.0
 BURN_IN, SAMPLES = 2, 3
-ROW = "block string, shard int, words binary, width binary, context binary, train binary, times binary, docs binary, doc_ids array<long>, n_tokens array<long>, held_out array<boolean>"
+ROW = "block string, shard int, words binary, width binary, context binary, train binary, times binary, docs binary, rare binary, doc_ids array<long>, n_tokens array<long>, held_out array<boolean>"
 EMPTY = b""
 
 
@@ -101,20 +106,22 @@ def _deal(contexts, shards: int):
             block = uuid.uuid4().hex
             size = np.array([len(x) for x in arrays])
             flat = np.concatenate(arrays)
-            before = np.concatenate([[np.uint64(END)], flat[:-1]])
-            before[np.cumsum(size)[:-1]] = np.uint64(END)
-            at = np.searchsorted(heads, before)
-            at[at == len(heads)] = 0
-            context = np.where(heads[at] == before, at, CLOSED) if len(heads) else np.full(len(flat), CLOSED)
             words, where = np.unique(flat, return_inverse=True)
-            pair = where.astype(np.int64) << 16 | context
+            before = np.concatenate([where[-1:], where[:-1]])  # each document ends with END, which stands before the next one's first word
+            at = np.searchsorted(heads, words)
+            at[at == len(heads)] = 0
+            context = np.where(heads[at] == words, at, CLOSED) if len(heads) else np.full(len(words), CLOSED)
+            pair = where.astype(np.int64) << 32 | before
             order = np.argsort(pair, kind="stable")
             pair = pair[order]
             start = _starts(pair)
             docs = np.repeat(np.arange(len(ids), dtype=np.uint16), size)[order]
             train = np.add.reduceat((~np.repeat(np.array(held), size))[order].astype(np.int64), start)
             times = np.diff(np.append(start, len(pair)))
-            owner, ctx = pair[start] >> 16, (pair[start] & 0xFFFF).astype("<u2")
+            owner, prior = pair[start] >> 32, pair[start] & 0xFFFFFFFF
+            ctx = context[prior].astype("<u2")
+            rare = words[prior[ctx == CLOSED]]
+            rare_at = np.concatenate([[0], np.cumsum(ctx == CLOSED)])
             width = np.bincount(owner, minlength=len(words)).astype("<u4")
             shard = shard_of(words, shards)
             first = _starts(shard)
@@ -125,10 +132,10 @@ def _deal(contexts, shards: int):
             for a, b in zip(first, ends):
                 p, q = pair_at[a], pair_at[b]
                 rows.append((block, int(shard[a]), words[a:b].tobytes(), width[a:b].tobytes(), ctx[p:q].tobytes(), train[p:q].astype("<u4").tobytes(),
-                             times[p:q].astype("<u4").tobytes(), docs[token_at[p] : token_at[q]].tobytes(), None, None, None))
-            rows.append((block, -1, EMPTY, EMPTY, EMPTY, EMPTY, EMPTY, EMPTY, ids, size.tolist(), held))
+                             times[p:q].astype("<u4").tobytes(), docs[token_at[p] : token_at[q]].tobytes(), rare[rare_at[p] : rare_at[q]].tobytes(), None, None, None))
+            rows.append((block, -1, EMPTY, EMPTY, EMPTY, EMPTY, EMPTY, EMPTY, EMPTY, ids, size.tolist(), held))
             cols = list(zip(*rows))
-            kinds = [pa.string(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+            kinds = [pa.string(), pa.int32(), *[pa.binary()] * 7, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
             names = [c.split()[0] for c in ROW.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
@@ -158,19 +165,34 @@ def seat(count: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Gen
 
 
 class Shard:
-    """The merged counts of a shard's words: `pair` is word number << 16 | context, sorted."""
+    """The merged counts of a shard's words: `pair` is word number << 32 | context, sorted.
+
+    Rows: words, width, context, train, and the hashes of the contexts that are CLOSED, which are numbered from RARE on.
+    """
 
-    def __init__(self, rows: list[tuple[bytes, bytes, bytes, bytes]]) -> None:
-        parts = [(np.frombuffer(w, "<u8"), np.frombuffer(k, "<u4"), np.frombuffer(c, "<u2"), np.frombuffer(n, "<u4")) for w, k, c, n in rows]
+    def __init__(self, rows: list[tuple[bytes, ...]]) -> None:
+        parts = [(np.frombuffer(w, "<u8"), np.frombuffer(k, "<u4"), np.frombuffer(c, "<u2"), np.frombuffer(n, "<u4")) for w, k, c, n, *_ in rows]
+        rare = [np.frombuffer(x, "<u8") for r in rows for x in r[4:]]
         self.words = np.unique(np.concatenate([p[0] for p in parts]))
-        self.at = [self._pairs(w, k, c) for w, k, c, _ in parts]
-        self.pair, inverse = np.unique(np.concatenate(self.at), return_inverse=True)
-        self.count = np.bincount(inverse, np.concatenate([p[3] for p in parts]), len(self.pair))
-        self.word, self.context = self.pair >> 16, self.pair & 0xFFFF
+        self.rare = np.unique(np.concatenate(rare)) if rare else np.zeros(0, np.uint64)
+        self.at = [self._pairs(w, k, c.astype(np.int64), x) for (w, k, c, _), x in zip(parts, rare or [None] * len(parts))]
+        every = np.concatenate(self.at)
+        order = np.argsort(every)
+        every = every[order]
+        start = _starts(every)
+        self.pair, self.count = every[start], np.add.reduceat(np.concatenate([p[3] for p in parts])[order].astype(np.float64), start)
+        self.word, self.context = self.pair >> 32, self.pair & 0xFFFFFFFF
         self.seen = np.bincount(self.word, self.count, len(self.words))
 
-    def _pairs(self, words, width, context) -> np.ndarray:
-        return np.repeat(np.searchsorted(self.words, words), width).astype(np.int64) << 16 | context
+    def _pairs(self, words, width, context, rare) -> np.ndarray:
+        if rare is not None:
+            context[context == CLOSED] = RARE + np.searchsorted(self.rare, rare)
+        return np.repeat(np.searchsorted(self.words, words), width).astype(np.int64) << 32 | context
+
+    def beside(self, totals: dict, rare: dict) -> dict:
+        """`totals` of the frequent contexts with those of the shard's rarer ones behind them, as `context` numbers them."""
+        fill = lambda x: np.zeros(RARE - len(x))
+        return {**totals, **{k: np.concatenate([totals[k], fill(totals[k]), v]) for k, v in rare.items()}}
 
     def samples(self, totals: dict, vocabulary: int, seed: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(tables of pairs, customers of words in the parent, tables of words in the parent) of each sweep after the burn-in."""
@@ -210,10 +232,10 @@ def predictive(shard: Shard, samples, sample_totals: list[dict], vocabulary: int
     return mean / len(sample_totals)
 
 
-def _by_shard(batches, columns: list[str]) -> Iterator[tuple[int, list[tuple]]]:
+def _by_shard(batches, columns: list[str], by: str = "shard") -> Iterator[tuple[int, list[tuple]]]:
     at, held = None, []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ["shard", *columns])):
+        for row in zip(*(batch.column(c).to_pylist() for c in [by, *columns])):
             if row[0] != at:
                 if held:
                     yield at, held
@@ -223,27 +245,74 @@ def _by_shard(batches, columns: list[str]) -> Iterator[tuple[int, list[tuple]]]:
         yield at, held
 
 
-COUNTS = ["words", "width", "context", "train"]
+COUNTS = ["words", "width", "context", "train", "rare"]
+SUMS = "sample int, kind int, slot int, value double, owner int, shard int, contexts binary, sums binary"
+REPLY = "!"  # blocks of sums that come back begin with it: before all others, by round and shard of contexts
+
+
+def _replies(rows: list[tuple], at: int) -> tuple[list[tuple], list[list[dict]]]:
+    """The rows of documents, and the totals of the shard's rarer contexts that came back: a list of samples for each round."""
+    rounds: dict = {}
+    for r in rows:
+        if r[at].startswith(REPLY):
+            rounds.setdefault(r[at].split("-")[0], []).append(np.frombuffer(r[0], "<f4").reshape(SAMPLES + 1, -1))
+    sums = [np.concatenate(rounds[k], axis=1).astype(np.float64) for k in sorted(rounds)]
+    return [r for r in rows if not r[at].startswith(REPLY)], [[{"tables": x[i], "counts": x[SAMPLES]} for i in range(SAMPLES)] for x in sums]
+
 
+def _totals(shared, vocabulary: int, shards: int, seed: int):
+    """What the shards' samples add to the totals: rows (sample, kind, slot, value), at most a row a frequent context, kind, sample and
+    task, and for each shard and shard of contexts (owner, shard, contexts, sums) of the rarer ones: tables of each sample, then customers."""
+    names = [c.split()[0] for c in SUMS.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
-def _totals(shared, vocabulary: int, seed: int):
-    """Rows (sample, kind, slot, value) of what the shards' samples add to the totals; at most a row a context, kind, sample and task."""
+    def sent(*cols):
+        n = next(len(c) for c in cols if c is not None)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     def run(batches):
         sums: list = [None] * SAMPLES
-        for number, rows in _by_shard(batches, COUNTS):
-            shard = Shard(rows)
-            inner = shard.context != CLOSED
+        for number, rows in _by_shard(batches, [*COUNTS, "block"]):
+            rows, back = _replies(rows, len(COUNTS))
+            shard = Shard([r[: len(COUNTS)] for r in rows])
+            inner, m = shard.context < RARE - 1, len(shard.rare)
+            far = shard.context >= RARE
+            place = shard.context[far] - RARE
             n = len(shared.value["tables"])
-            for s, (tables, served, own) in enumerate(shard.samples(shared.value, vocabulary, [seed, number])):
+            start = shard.beside(shared.value, {"tables": back[0][-1]["tables"] if back else np.ones(m)})
+            rare = np.zeros((SAMPLES + 1, m), "<f4")
+            rare[SAMPLES] = np.bincount(place, shard.count[far], m)
+            for s, (tables, served, own) in enumerate(shard.samples(start, vocabulary, [seed, number])):
                 new = [np.bincount(shard.context[inner], tables[inner], n), np.bincount(shard.context[inner], shard.count[inner], n), np.array([served.sum()]), np.array([own.sum()])]
                 sums[s] = new if sums[s] is None else [x + y for x, y in zip(sums[s], new)]
+                rare[s] = np.bincount(place, tables[far], m)
+            owner = shard_of(shard.rare, shards)
+            first = _starts(owner)
+            ends = np.append(first[1:], m)
+            if m:
+                yield sent(None, None, None, None, owner[first], np.full(len(first), number), [shard.rare[a:b].tobytes() for a, b in zip(first, ends)], [rare[:, a:b].tobytes() for a, b in zip(first, ends)])
         for s, parts in enumerate(sums):
             for kind, values in enumerate(parts or ()):
                 slot = np.flatnonzero(values)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(slot), s), pa.int32()), pa.array(np.full(len(slot), kind), pa.int32()), pa.array(slot, pa.int32()), pa.array(values[slot])],
-                    names=["sample", "kind", "slot", "value"])
+                yield sent(np.full(len(slot), s), np.full(len(slot), kind), slot, values[slot], None, None, None, None)
+
+    return run
+
+
+def _context_sums(number: int):
+    """Rows sorted by owner -> for each shard that asked, the sums of its contexts over all shards, in its order."""
+
+    def run(batches):
+        for owner, rows in _by_shard(batches, ["shard", "contexts", "sums"], "owner"):
+            contexts = [np.frombuffer(c, "<u8") for _, c, _ in rows]
+            every, where = np.unique(np.concatenate(contexts), return_inverse=True)
+            given = np.concatenate([np.frombuffer(x, "<f4").reshape(SAMPLES + 1, -1) for _, _, x in rows], axis=1)
+            total = np.stack([np.bincount(where, x, len(every)) for x in given]).astype("<f4")
+            ends = np.cumsum([len(c) for c in contexts])
+            for (shard, *_), c, e in zip(rows, contexts, ends):
+                yield pa.RecordBatch.from_pydict({
+                    "shard": pa.array([shard], pa.int32()), "block": pa.array([f"{REPLY}{number}-{owner:09d}"]),
+                    "words": pa.array([total[:, where[e - len(c) : e]].tobytes()], pa.binary())})
 
     return run
 
@@ -254,8 +323,11 @@ def _answer(shared, vocabulary: int, n_train: int, seed: int):
     def run(batches):
         start, per_sample = shared.value
         for number, rows in _by_shard(batches, [*COUNTS, "block", "times", "docs"]):
-            shard = Shard([r[:4] for r in rows])
-            log_p = np.log10(predictive(shard, shard.samples(start, vocabulary, [seed, number]), per_sample, vocabulary))
+            rows, back = _replies(rows, len(COUNTS))
+            shard = Shard([r[: len(COUNTS)] for r in rows])
+            before, after = back or ([{"tables": np.zeros(0), "counts": np.zeros(0)}] * SAMPLES,) * 2
+            samples = shard.samples(shard.beside(start, before[-1]), vocabulary, [seed, number])
+            log_p = np.log10(predictive(shard, samples, [shard.beside(t, r) for t, r in zip(per_sample, after)], vocabulary))
             seen = shard.seen[shard.word]
             base = np.log10((seen + 0.5) / (n_train + 0.5 * (vocabulary + 1)))
             for pairs, (*_, block, times, docs) in zip(shard.at, rows):
@@ -315,25 +387,39 @@ def lm_scores(docs: DataFrame, parts: int = 5, left_out: int = 1, seed: int = 11
     vocabulary, n_train = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = max(math.ceil(OPEN * n_train), 1)
     heads = np.sort(np.array([r.w for r in counted.where(F.col("n") >= least).collect()], np.int64).view(np.uint64))  # at most 1 / OPEN rows
-    shards = partitions(spark)
+    width = partitions(spark)
+    shards = SHARDS * width
     contexts = spark.sparkContext.broadcast(heads)
     path = shared_folder(spark)
-    marked.mapInArrow(_deal(contexts, shards), ROW).write.option("compression", "zstd").parquet(path)
-    dealt = spark.read.schema(ROW).parquet(path)
-    by_shard = lambda *cols: dealt.where("shard >= 0").select("shard", *cols).repartition(shards, "shard").sortWithinPartitions("shard", *[c for c in cols if c == "block"])
-
-    def totals(start: dict, salt: int) -> list[dict]:
-        shared = spark.sparkContext.broadcast(start)
-        rows = by_shard("block", *COUNTS).mapInArrow(_totals(shared, vocabulary, seed + salt), "sample int, kind int, slot int, value double")
-        return _collect_totals(rows.groupBy("sample", "kind", "slot").agg(F.sum("value").alias("value")).collect(), len(heads))  # a few numbers a context
-
-    first = totals({"tables": np.ones(max(len(heads), 1)), "customers": float(n_train), "parent_tables": float(vocabulary)}, 0)[-1]
-    per_sample = totals(first, 1)
-    shared = spark.sparkContext.broadcast((first, per_sample))
-    sums = by_shard("block", *COUNTS, "times", "docs").mapInArrow(_answer(shared, vocabulary, n_train, seed + 1), "block string, shard int, docs binary, sums binary")
+    marked.mapInArrow(_deal(contexts, shards), ROW).withColumn("round", F.when(F.col("shard") < 0, -1).otherwise(F.pmod("shard", F.lit(ROUNDS)))).write.option(
+        "compression", "zstd").partitionBy("round").parquet(path)
+    dealt = spark.read.schema(f"{ROW}, round int").parquet(path)
+
+    def by_shard(replies: list[DataFrame], run, kind: str, *cols: str) -> DataFrame:
+        """What `run` makes of each shard's rows, which come sorted by block."""
+        out = []
+        for k in range(ROUNDS):
+            rows = dealt.where(F.col("round") == k).select("shard", "block", *cols)
+            for r in replies:
+                rows = rows.unionByName(r.where(F.pmod("shard", F.lit(ROUNDS)) == k), allowMissingColumns=True)
+            out.append(settle(rows.repartition(width, "shard").sortWithinPartitions("shard", "block").mapInArrow(run, kind)))
+        return reduce(DataFrame.unionByName, out)
+
+    def totals(start: dict, replies: list[DataFrame], salt: int) -> tuple[list[dict], DataFrame]:
+        """The totals of the frequent contexts and, to be read by shard, those of the rarer ones."""
+        rows = by_shard(replies, _totals(spark.sparkContext.broadcast(start), vocabulary, shards, seed + salt), SUMS, *COUNTS)
+        frequent = rows.where("owner IS NULL").groupBy("sample", "kind", "slot").agg(F.sum("value").alias("value")).collect()  # a few numbers a frequent context
+        asked = rows.where("owner IS NOT NULL").select("owner", "shard", "contexts", "sums").repartition(width, "owner").sortWithinPartitions("owner", "shard")
+        return _collect_totals(frequent, len(heads)), settle(asked.mapInArrow(_context_sums(salt), "shard int, block string, words binary"))
+
+    with small_batches(spark), shuffles_dropped(spark):
+        first, rare = totals({"tables": np.ones(max(len(heads), 1)), "customers": float(n_train), "parent_tables": float(vocabulary)}, [], 0)
+        per_sample, rarer = totals(first[-1], [rare], 1)
+        shared = spark.sparkContext.broadcast((first[-1], per_sample))
+        sums = by_shard([rare, rarer], _answer(shared, vocabulary, n_train, seed + 1), "block string, shard int, docs binary, sums binary", *COUNTS, "times", "docs")
     none = lambda kind: F.lit(None).cast(kind)
     met = dealt.where("shard < 0").select("block", "shard", F.col("docs"), none("binary").alias("sums"), "doc_ids", "n_tokens", "held_out").unionByName(
         sums.select("block", "shard", "docs", "sums", none("array<long>").alias("doc_ids"), none("array<long>").alias("n_tokens"), none("array<boolean>").alias("held_out")))
-    done = met.repartition(shards, "block").sortWithinPartitions("block", "shard").mapInArrow(
+    done = met.repartition(width, "block").sortWithinPartitions("block", "shard").mapInArrow(
         _assemble, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

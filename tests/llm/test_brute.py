@@ -371,6 +371,43 @@ def test_lm_sums_to_one():
         assert math.isclose(p[shard.context == c].sum() + unknown, 1, rel_tol=1e-9)
 
 
+def test_lm_sums_to_one_after_rarer_contexts():
+    """As above, for contexts that are told by their hashes and in several blocks."""
+    rng = np.random.default_rng(18)
+    words, rare = (np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (300, 4))
+    counts = rng.poisson(0.7, (2, 300, 6)).astype("<u4")
+    context = np.array([0, 1, *[lm_score.CLOSED] * 4], "<u2")
+    rows = [(words.tobytes(), np.full(300, 6, "<u4").tobytes(), np.tile(context, 300).tobytes(), n.ravel().tobytes(), np.tile(rare, 300).tobytes()) for n in counts]
+    shard = lm_score.Shard(rows)
+    assert shard.rare.tolist() == rare.tolist() and shard.count.sum() == counts.sum()
+    heads = {"tables": np.ones(2), "customers": 100.0, "parent_tables": 50.0}
+    samples = list(shard.samples(shard.beside(heads, {"tables": np.ones(4)}), 300, [1, 0]))
+    sums = lambda x: np.bincount(shard.context, x, lm_score.RARE + 4)
+    totals = [{"tables": sums(t), "counts": sums(shard.count), "customers": s.sum(), "parent_tables": o.sum()} for t, s, o in samples]
+    p = lm_score.predictive(shard, samples, totals, 300)
+    for c in (0, 1, *range(lm_score.RARE, lm_score.RARE + 4)):
+        unknown = np.mean([(lm_score.STRENGTH + lm_score.DISCOUNT * t["tables"][c]) / (lm_score.STRENGTH + t["counts"][c])
+                           * lm_score.parent(0.0, 0.0, t["customers"], t["parent_tables"], 1 / 301) for t in totals])
+        assert math.isclose(p[shard.context == c].sum() + unknown, 1, rel_tol=1e-9)
+
+
+def test_lm_rare_contexts(spark):
+    """Words far below 1 / 16,384 of the training tokens tell what follows them as well: a right follower is likelier than another one."""
+    rng = np.random.default_rng(19)
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    train = [i for i in range(2000) if i not in set(held)]
+    texts = {i: ["w%d" % x for x in rng.integers(0, 50, 60)] for i in train[:1500]}
+    for k in range(100):
+        for i in rng.choice(train[:1500], 3, replace=False).tolist():
+            texts[i] += [f"before{k}", f"after{k}"]
+    for k in range(100):
+        texts[held[2 * k]], texts[held[2 * k + 1]] = [f"before{k}", f"after{k}"], [f"before{k}", f"after{(k + 1) % 100}"]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.lm_scores(docs).collect()}
+    assert lm_score.OPEN * got[held[0]].train_tokens > 4
+    assert all(got[held[2 * k]].score > got[held[2 * k + 1]].score + 0.5 for k in range(100))
+
+
 def test_seating_against_one_by_one():
     """Tables of a dish seated in groups have the mean of customers seated one after the other."""
     rng = np.random.default_rng(6)
