@@ -161,6 +161,22 @@ def test_crowded_signature(spark, monkeypatch, cell):
     assert all(got[i].class_id == (20 + i % 10 if 20 <= i and i % 10 < 6 else i) for i in range(80))
 
 
+def test_packed_signatures():
+    """Against a plain grouping: what two documents share, with the least of them, whichever batches and shards it comes in."""
+    rng = np.random.default_rng(20)
+    words = ["p%d" % x for x in rng.integers(0, 10**6, 400)]
+    texts = {i: " ".join(words[a : a + 70]) for i, a in zip(rng.permutation(30).tolist(), rng.integers(0, 330, 30).tolist())}
+    batches = lambda: (pa.RecordBatch.from_pydict({"doc_id": pa.array(part, pa.int64()), "text": [texts[i] for i in part]}) for part in (list(texts)[:13], list(texts)[13:], []))
+    rows = sorted((x for b in substring_dedup._packed_keys(7)(batches()) for x in zip(*(c.to_pylist() for c in b.columns))), key=lambda x: x[0])
+    both = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["shard", "keys", "docs"])
+    got = [x for b in substring_dedup._shared_keys(iter([both])) for x in zip(*(c.to_pylist() for c in b.columns))]
+    holders = collections.defaultdict(set)
+    for b in substring_dedup._signatures(batches()):
+        for key, doc, _ in zip(*(c.to_pylist() for c in b.columns)):
+            holders[key].add(doc)
+    assert len({r for r, *_ in rows}) == 7 and sorted(got) == sorted((k, min(d)) for k, d in holders.items() if len(d) > 1)
+
+
 def test_meetings():
     """Against counting the common tokens of all pairs: equal slices are one, and every class of them that is near another meets it."""
     rng = np.random.default_rng(16)
