@@ -568,3 +568,36 @@ def test_ablations(spark):
 
 def test_classifier_fold():
     assert quality_classifier.python_fold(7, 4) == zlib.crc32(b"7") % 4
+
+
+def test_a_crowd_of_near_copies_is_not_all_its_pairs():
+    """Places that a first holder left over, near one another in 200 texts of two kinds: two rows a text at most, each kind one class, a smaller text for all but the least."""
+    rng = np.random.default_rng(22)
+    kinds, cut = [rng.integers(0, 1 << 32, 91, np.uint32) for _ in range(2)], {}
+    for doc in range(200):
+        x = kinds[doc % 2].copy()
+        x[rng.integers(0, 20)] = doc
+        cut[doc] = x
+    own = pa.RecordBatch.from_pydict({
+        "key": pa.array([7] * 200, pa.int64()), "i": [0] * 200, "j": [0] * 200, "doc_id": pa.array(range(200), pa.int64()), "c": [45 + d for d in range(200)],
+        "asks": [True] * 200, "holds": [True] * 200, "place": [45] * 200, "tokens": [cut[d].tobytes() for d in range(200)]})
+    got = [x for b in substring_dedup._meet(iter([own])) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(got) <= 400 and {a for a, *_ in got} == set(range(2, 200)) and all((c, rc) == (45 + a, 45 + r) for a, r, c, rc in got)
+    assert union_find(range(200), [(a, r) for a, r, *_ in got]) == {d: d % 2 for d in range(200)}
+
+
+def test_nearness_of_slices():
+    """The filter before it drops no pair that shares a passage; the place is held by the passage or not."""
+    rng = np.random.default_rng(23)
+    base, slices = rng.integers(0, 1 << 32, 91, np.uint32), []
+    for k in range(120):
+        x = base.copy()
+        x[rng.choice(91, k % 12, replace=False)] = rng.integers(0, 1 << 32, k % 12, np.uint32)
+        slices.append(np.delete(x, rng.choice(91, k % 5, replace=False)).tobytes())
+    of = [np.frombuffer(t, "<u4") for t in slices]
+    kept = set(substring_dedup._near_enough(slices, slices, substring_dedup.Held(slices)).tolist())
+    near = {a * 120 + b for a in range(120) for b in range(120) if next(substring_dedup.passages(of[a], of[b]), None)}
+    assert near <= kept and len(near) > 1000 and len(kept) < 120 * 120
+    for common, want in ((37, [0, 0]), (46, [1, 2])):
+        one, two = base, np.concatenate([rng.integers(0, 1 << 32, 91 - common, np.uint32), base[91 - common :]])
+        assert [substring_dedup.nearness(one, two[10:], p, p - 10) for p in (30, 70)] == want
