@@ -286,6 +286,8 @@ def _totals(shared, vocabulary: int, shards: int, seed: int):
                 new = [np.bincount(shard.context[inner], tables[inner], n), np.bincount(shard.context[inner], shard.count[inner], n), np.array([served.sum()]), np.array([own.sum()])]
                 sums[s] = new if sums[s] is None else [x + y for x, y in zip(sums[s], new)]
                 rare[s] = np.bincount(place, tables[far], m)
+            if not back:  # of the first sweeps only the last tables are read again
+                rare[: SAMPLES - 1] = rare[SAMPLES] = 0
             owner = shard_of(shard.rare, shards)
             first = _starts(owner)
             ends = np.append(first[1:], m)
@@ -395,6 +397,12 @@ def lm_scores(docs: DataFrame, parts: int = 5, left_out: int = 1, seed: int = 11
         "compression", "zstd").partitionBy("round").parquet(path)
     dealt = spark.read.schema(f"{ROW}, round int").parquet(path)
 
+    def packed(df: DataFrame) -> DataFrame:
+        """As `settle`, in less room: counts and sums are repetitive."""
+        at = shared_folder(spark)
+        df.write.option("compression", "zstd").parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
     def by_shard(replies: list[DataFrame], run, kind: str, *cols: str) -> DataFrame:
         """What `run` makes of each shard's rows, which come sorted by block."""
         out = []
@@ -402,7 +410,7 @@ def lm_scores(docs: DataFrame, parts: int = 5, left_out: int = 1, seed: int = 11
             rows = dealt.where(F.col("round") == k).select("shard", "block", *cols)
             for r in replies:
                 rows = rows.unionByName(r.where(F.pmod("shard", F.lit(ROUNDS)) == k), allowMissingColumns=True)
-            out.append(settle(rows.repartition(width, "shard").sortWithinPartitions("shard", "block").mapInArrow(run, kind)))
+            out.append(packed(rows.repartition(width, "shard").sortWithinPartitions("shard", "block").mapInArrow(run, kind)))
         return reduce(DataFrame.unionByName, out)
 
     def totals(start: dict, replies: list[DataFrame], salt: int) -> tuple[list[dict], DataFrame]:
@@ -410,7 +418,7 @@ def lm_scores(docs: DataFrame, parts: int = 5, left_out: int = 1, seed: int = 11
         rows = by_shard(replies, _totals(spark.sparkContext.broadcast(start), vocabulary, shards, seed + salt), SUMS, *COUNTS)
         frequent = rows.where("owner IS NULL").groupBy("sample", "kind", "slot").agg(F.sum("value").alias("value")).collect()  # a few numbers a frequent context
         asked = rows.where("owner IS NOT NULL").select("owner", "shard", "contexts", "sums").repartition(width, "owner").sortWithinPartitions("owner", "shard")
-        return _collect_totals(frequent, len(heads)), settle(asked.mapInArrow(_context_sums(salt), "shard int, block string, words binary"))
+        return _collect_totals(frequent, len(heads)), packed(asked.mapInArrow(_context_sums(salt), "shard int, block string, words binary"))
 
     with small_batches(spark), shuffles_dropped(spark):
         first, rare = totals({"tables": np.ones(max(len(heads), 1)), "customers": float(n_train), "parent_tables": float(vocabulary)}, [], 0)
